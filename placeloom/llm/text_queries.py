@@ -1,13 +1,17 @@
-"""Queries on the plain form of texts (problem 4)."""
+"""Queries on the plain form (problem 4) and the languages (problem 5) of texts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placeloom.llm.language import fit_languages, label_languages, language_code
 from placeloom.llm.plain import plain_forms
+from placeloom.llm.words import words
 from placeloom.session import table
 
+LEAST_WORDS = 6  #: shorter posts get no language
+
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = table(spark, sf_dir, "posts").select(F.lit("post").alias("record_kind"), F.col("post_id").alias("record_id"), "text")
@@ -26,4 +30,24 @@ def p4_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain_forms(_records(spark, sf_dir), ["record_kind", "record_id"], "text").select("record_kind", "record_id", "plain")
 
 
-QUERIES = {"p4_found": p4_found, "p4_plain": p4_plain}
+
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = table(spark, sf_dir, "posts").select("post_id", "text", "lang")
+    model = fit_languages(posts, "text", "lang")
+    enough = posts.select("post_id", "text", language_code(F.col("lang")).alias("label")).where(F.size(words(F.col("text"))) >= LEAST_WORDS)
+    return label_languages(enough, ["post_id", "label"], "text", model)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(post_id, lang): the languages of posts whose label is missing or wrong or that hold two languages."""
+    got = _languages(spark, sf_dir).where(F.size("segments") > 0)
+    wrong = F.col("label").isNull() | (F.size("segments") > 1) | (F.col("label") != F.col("segments")[0]["lang"])
+    return got.where(wrong).select("post_id", F.explode("segments.lang").alias("lang")).distinct()
+
+
+def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(post_id, lang, confidence, sentence): every language of every post, and the sentence it starts with."""
+    return _languages(spark, sf_dir).select("post_id", F.inline("segments")).distinct()
+
+
+QUERIES = {"p4_found": p4_found, "p4_plain": p4_plain, "p5_found": p5_found, "p5_segments": p5_segments}
