@@ -73,9 +73,18 @@ def unstable_ranges() -> list[tuple[int, int]]:
     return out
 
 
-def unstable_pattern() -> str:
-    """A Java regular expression that finds any character that may be unstable."""
-    return "[" + "".join(f"\\x{{{a:x}}}" + (f"-\\x{{{b:x}}}" if b > a else "") for a, b in unstable_ranges()) + "]"
+def unstable_pattern(least: int = 10) -> str:
+    """A Java regular expression that finds any character that may be unstable.
+
+    It is the complement of the longer stable ranges: the matcher then needs one table look-up for
+    a Latin letter and few comparisons for others. What lies between short stable ranges counts as
+    unstable here; plain() leaves it as it is."""
+    stable, at = [], 0
+    for a, b in [*unstable_ranges(), (0x20000, 0x20000)]:
+        if a - at >= least:
+            stable.append((at, a - 1))
+        at = b + 1
+    return "[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in stable) + "]"
 
 
 @lru_cache(1)
