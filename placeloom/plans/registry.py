@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from placeloom.plans import geo_queries
+from placeloom.plans import engine_queries, geo_queries
 
-MODULES = (geo_queries,)
+MODULES = (geo_queries, engine_queries)
 FLAGSHIP = "p1_found"
 
 
