@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from placeloom.operators import gazetteer as gz
 from placeloom.operators import home as hm
 from placeloom.operators import resolve as rs
 from placeloom.operators import scoring as sc
-from placeloom.session import table
+from placeloom.session import cut, table
 
 START, FIRST_STEP, LAST_STEP = "2016-01-04 00:00:00", 1, 112
 ZONES_FROM, ZONES_TO = datetime(2015, 1, 1), datetime(2018, 1, 1)
@@ -25,18 +26,26 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str, settings: Settings = DEFAULT):
         self.spark, self.settings = spark, settings
-        self.posts = ca.base_posts(table(spark, sf_dir, "posts"))
+        self.raw = table(spark, sf_dir, "posts")
+        self.posts = ca.base_posts(self.raw)
         self.geonames, self.alternates, self.adm1, self.countries, self.words = (table(spark, sf_dir, t) for t in ("geonames", "alternate_names", "adm1", "countries", "most_common_words"))
         self.tags = spark.createDataFrame(tag_rows(), "tag string, lang string")
+        self.written: dict[str, DataFrame] = {}
+
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """What build() gives, as a table written once in the shared folder and read by every later step."""
+        if name not in self.written:
+            self.written[name] = cut(build())
+        return self.written[name]
 
     def gazetteer(self) -> DataFrame:
-        return gz.build_gazetteer(self.geonames, self.alternates, self.adm1)
+        return self.once("gazetteer", lambda: gz.build_gazetteer(self.geonames, self.alternates, self.adm1))
 
     def admin(self) -> DataFrame:
-        return gz.admin_names(self.geonames, self.alternates, self.adm1, self.settings)
+        return self.once("admin", lambda: gz.admin_names(self.geonames, self.alternates, self.adm1, self.settings))
 
     def common(self) -> DataFrame:
-        return gz.common_words(self.words, self.geonames, self.settings)
+        return self.once("common", lambda: gz.common_words(self.words, self.geonames, self.settings))
 
     def grams(self) -> DataFrame:
         return ca.grams_of(self.posts, self.tags, self.settings)
@@ -58,9 +67,12 @@ class Tables:
         return self.geonames.where("time_zone is not null and country_geonameid is not null").groupBy(F.col("country_geonameid").alias("geonameid")).agg(F.array_sort(F.collect_set("time_zone")).alias("zones"))
 
     def homes(self) -> DataFrame:
-        return hm.home_places(self.posts.select("home"), self.admin(), self.gazetteer(), self.settings)
+        return self.once("homes", lambda: hm.home_places(self.posts.select("home"), self.admin(), self.gazetteer(), self.settings))
 
     def scored(self) -> DataFrame:
+        return self.once("scored", self._scored)
+
+    def _scored(self) -> DataFrame:
         return sc.score_candidates(self.candidates(), self.posts, self.countries.select("geonameid", "rings"), self.zones(), self.area_zones(), hm.main_home(self.homes()), self.countries.select("geonameid", "continents"), self.settings)
 
     def stepped(self) -> DataFrame:

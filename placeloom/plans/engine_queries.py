@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeloom.config import DEFAULT
+from placeloom.config import DEFAULT, Settings
 from placeloom.functions import text as tx
+from placeloom.functions.dates import daterange
 from placeloom.operators import candidates as ca
 from placeloom.operators import gazetteer as gz
-from placeloom.plans.binding import Tables
-from placeloom.plans.sqlparts import with_parts
-
+from placeloom.operators import resolve as rs
+from placeloom.operators import scoring as sc
+from placeloom.operators.search import find_posts, has_location
+from placeloom.operators.similar_posts import earliest_of_text, without_near_duplicates
+from placeloom.operators.spatial import points_near_points
+from placeloom.plans.binding import LAST_STEP, START, Tables
+from placeloom.plans.sqlparts import distance, with_parts
+
+AS_WRITTEN = Settings(family_mode="as_written")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -227,3 +234,152 @@ def _(t: Tables) -> DataFrame:
 @query("op_f12_candidates", "SELECT post_id, toponym, original, geonameid, type, population FROM candidate", "candidate")
 def _(t: Tables) -> DataFrame:
     return t.candidates().select("post_id", "toponym", "original", "geonameid", "type", "population")
+
+
+# --- predicates and scores ---
+
+
+@query("op_p7_p9_homes", "SELECT home, toponym, geonameid, type FROM home_place", "home_place")
+def _(t: Tables) -> DataFrame:
+    return t.homes().select("home", "toponym", "geonameid", "type")
+
+
+@query("op_p1_p6_scores", "SELECT post_id, toponym, geonameid, s_coordinates, s_home, s_bbox, s_family, s_offset FROM scored", "scored")
+def _(t: Tables) -> DataFrame:
+    return t.scored().select("post_id", "toponym", "geonameid", "s_coordinates", "s_home", "s_bbox", "s_family", "s_offset")
+
+
+@query("op_j12_areas_of_posts", "SELECT post_id, array_to_string(areas, '|') AS areas FROM area", "area")
+def _(t: Tables) -> DataFrame:
+    points = t.posts.where("lon is not null").select("post_id", "lon", "lat").unionByName(sc.bbox_points(t.posts))
+    return sc.areas_of_points(points, t.countries).select("post_id", F.array_join("areas", "|").alias("areas"))
+
+
+@query("op_j13_near_towns", f"SELECT post_id, geonameid FROM base JOIN geonames ON feature_class = 'P' AND population > 1000000 AND lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90 AND {distance('lon', 'lat', 'longitude', 'latitude')} < 200000", "base")
+def _(t: Tables) -> DataFrame:
+    towns = t.geonames.where("feature_class = 'P' and population > 1000000")
+    return points_near_points(t.posts, towns, "post_id", "lon", "lat", "geonameid", "longitude", "latitude", DEFAULT.near_m)
+
+
+@query("op_j14_zones_of_posts", "SELECT post_id, array_to_string(zones, '|') AS zones FROM post_zone", "post_zone")
+def _(t: Tables) -> DataFrame:
+    return t.zones().select("post_id", F.array_join("zones", "|").alias("zones"))
+
+
+# --- windows and resolution ---
+
+
+@query("op_r1_sliding_windows", "SELECT step, count(*) AS candidates, count(DISTINCT post_id) AS posts FROM stepped GROUP BY 1", "stepped")
+def _(t: Tables) -> DataFrame:
+    return t.stepped().groupBy("step").agg(F.count("*").alias("candidates"), F.count_distinct("post_id").alias("posts"))
+
+
+@query("op_a2_one_per_user", "SELECT step, toponym, geonameid, user_id, post_id FROM user_row", "user_row")
+def _(t: Tables) -> DataFrame:
+    return rs.one_per_user(t.stepped()).select("step", "toponym", "geonameid", "user_id", "post_id")
+
+
+@query("op_a3_type_scores", "SELECT step, toponym, geonameid, users, t_coordinates::BIGINT AS t_coordinates, t_home::BIGINT AS t_home, t_bbox::BIGINT AS t_bbox, t_offset::BIGINT AS t_offset FROM pooled", "pooled")
+def _(t: Tables) -> DataFrame:
+    return rs.type_scores(t.stepped()).select("step", "toponym", "geonameid", "users", "t_coordinates", "t_home", "t_bbox", "t_offset")
+
+
+@query("op_a5_average_score", "SELECT step, toponym, geonameid, avg_score FROM averaged", "averaged")
+def _(t: Tables) -> DataFrame:
+    return rs.average_scores(t.stepped(), settings=AS_WRITTEN).select("step", "toponym", "geonameid", "avg_score")
+
+
+@query("op_w1_w4_elect", "SELECT step, toponym, geonameid, type, avg_score FROM winner", "winner")
+def _(t: Tables) -> DataFrame:
+    return rs.elect(rs.average_scores(t.stepped(), settings=AS_WRITTEN)).select("step", "toponym", "geonameid", "type", "avg_score")
+
+
+@query("resolve_as_written", "SELECT post_id, toponym, step, geonameid, type, avg_score FROM best", "best")
+def _(t: Tables) -> DataFrame:
+    stepped = t.stepped()
+    return rs.best_locations(rs.placed_posts(stepped, rs.elect(rs.average_scores(stepped, settings=AS_WRITTEN)))).select("post_id", "toponym", "step", "geonameid", "type", "avg_score")
+
+
+@query("resolve_intended")
+def _(t: Tables) -> DataFrame:
+    stepped = t.stepped()
+    averaged = rs.average_scores(stepped, t.posts, t.settings)
+    return rs.best_locations(rs.placed_posts(stepped, rs.elect(averaged))).select("post_id", "toponym", "step", "geonameid", "type", "avg_score")
+
+
+@query(
+    "op_w6_j20_upsert",
+    "SELECT post_id, toponym, geonameid, avg_score FROM (SELECT *, row_number() OVER (PARTITION BY post_id, toponym ORDER BY avg_score DESC, age, geonameid) AS r FROM (SELECT post_id, l.toponym, l.geonameid, l.avg_score, 0 AS age FROM (SELECT DISTINCT post_id, unnest(locations) AS l FROM posts) UNION ALL SELECT post_id, toponym, geonameid, avg_score, 1 FROM best)) WHERE r = 1",
+    "best",
+)
+def _(t: Tables) -> DataFrame:
+    stored = t.raw.select("post_id", F.inline("locations")).select("post_id", "toponym", "geonameid", "avg_score").distinct()
+    stepped = t.stepped()
+    new = rs.best_locations(rs.placed_posts(stepped, rs.elect(rs.average_scores(stepped, settings=AS_WRITTEN))))
+    return rs.merge_locations(stored, new)
+
+
+# --- searching posts ---
+
+_SPAN = "posted_at BETWEEN TIMESTAMP '2016-01-08 00:00:00' AND TIMESTAMP '2016-01-10 12:00:00'"
+_FROM, _TO = "2016-01-08 00:00:00", "2016-01-10 12:00:00"
+
+
+def _found(t: Tables, **how) -> DataFrame:
+    return find_posts(t.raw, F.lit(_FROM).cast("timestamp_ntz"), F.lit(_TO).cast("timestamp_ntz"), **how).select("post_id", "posted_at", "received_at")
+
+
+@query("op_f1_between", f"SELECT post_id, posted_at, received_at FROM posts WHERE {_SPAN}")
+def _(t: Tables) -> DataFrame:
+    return _found(t)
+
+
+@query("op_f2_has_location", f"SELECT post_id, posted_at, received_at FROM posts WHERE {_SPAN} AND len(locations) > 0")
+def _(t: Tables) -> DataFrame:
+    return _found(t, locations=True)
+
+
+@query("op_f3_countries", f"SELECT post_id, posted_at, received_at FROM posts WHERE {_SPAN} AND len(list_filter(locations, lambda l: l.geonameid IN (9230, 24328, 22616))) > 0")
+def _(t: Tables) -> DataFrame:
+    return _found(t, countries=[9230, 24328, 22616])
+
+
+@query("op_f4_adm1", f"SELECT post_id, posted_at, received_at FROM posts WHERE {_SPAN} AND len(list_filter(locations, lambda l: l.geonameid IN (10326, 10062) OR l.adm1_geonameid IN (10326, 10062))) > 0")
+def _(t: Tables) -> DataFrame:
+    return _found(t, adm1=[10326, 10062])
+
+
+@query("op_f5_countries_and_adm1", f"SELECT post_id, posted_at, received_at FROM posts WHERE {_SPAN} AND len(list_filter(locations, lambda l: l.geonameid IN (9230, 24328, 10326) OR l.adm1_geonameid = 10326)) > 0")
+def _(t: Tables) -> DataFrame:
+    return _found(t, countries=[9230, 24328], adm1=10326)
+
+
+@query("op_f6_any_location", "SELECT post_id, received_at FROM posts WHERE len(locations) > 0")
+def _(t: Tables) -> DataFrame:
+    return t.raw.where(has_location(F.col("locations"))).select("post_id", "received_at")
+
+
+@query("op_f7_sorted", f"SELECT post_id, posted_at, received_at FROM posts WHERE {_SPAN} ORDER BY posted_at")
+def _(t: Tables) -> DataFrame:
+    return _found(t, sort=True)
+
+
+@query("op_s6_count", f"SELECT count(*) AS hits FROM posts WHERE {_SPAN}")
+def _(t: Tables) -> DataFrame:
+    return _found(t).agg(F.count("*").alias("hits"))
+
+
+@query("op_d4_steps", "SELECT k AS step, TIMESTAMP '2016-01-04' + k * INTERVAL 6 HOUR AS step_end FROM (SELECT unnest(range(1, 113)) AS k)")
+def _(t: Tables) -> DataFrame:
+    return daterange(t.spark, START, "2016-02-01 00:00:00", 6, LAST_STEP).select("step", "step_end")
+
+
+@query("op_a9_exact_copies", "SELECT DISTINCT post_id, posted_at, text FROM (SELECT *, min(posted_at) OVER (PARTITION BY text) AS m FROM base) WHERE posted_at = m", "base")
+def _(t: Tables) -> DataFrame:
+    return earliest_of_text(t.posts.select(F.lit(1).alias("g"), "post_id", "posted_at", "text"), "g", "posted_at", "text").select("post_id", "posted_at", "text")
+
+
+@query("op_a10_near_copies")
+def _(t: Tables) -> DataFrame:
+    rows = t.posts.select(F.concat_ws("|", F.date_trunc("day", "posted_at").cast("string"), "lang").alias("g"), "post_id", "posted_at", "text")
+    return without_near_duplicates(rows, "g", "post_id", "posted_at", "text", DEFAULT.near_duplicate_distance)

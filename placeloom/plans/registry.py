@@ -5,7 +5,7 @@ from __future__ import annotations
 from placeloom.plans import engine_queries, geo_queries
 
 MODULES = (geo_queries, engine_queries)
-FLAGSHIP = "p1_found"
+FLAGSHIP = "resolve_as_written"
 
 
 def queries() -> dict:

@@ -107,6 +107,25 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "zone_offset": ((), "SELECT DISTINCT time_zone AS zone, -3600 * coalesce(try_cast(nullif(regexp_extract(time_zone, 'GMT([+-][0-9]+)$', 1), '') AS INT), 0) AS offset_s FROM geonames WHERE time_zone IS NOT NULL"),
     "post_zone": (("base", "zone_offset"), "SELECT post_id, list(zone ORDER BY zone) AS zones FROM base JOIN zone_offset ON offset_s = utc_offset GROUP BY 1"),
     "area_zone": ((), "SELECT country_geonameid AS geonameid, list(DISTINCT time_zone ORDER BY time_zone) AS area_zones FROM geonames WHERE time_zone IS NOT NULL AND country_geonameid IS NOT NULL GROUP BY 1"),
+    "home_form": (("base",), "SELECT home, part, CASE WHEN n = 3 THEN trim(c[1] || c[2]) ELSE t END AS t, CASE WHEN n = 3 THEN 1 ELSE n END AS n FROM (SELECT home, part, t, string_split(t, ',') AS c, len(string_split(t, ',')) AS n FROM (SELECT home, part, replace(trim(p[part]), '.', '') AS t FROM (SELECT home, p, unnest(range(1, len(p) + 1)) AS part FROM (SELECT home, flatten(list_transform(flatten(list_transform(string_split(home, '/'), lambda x: string_split(x, ' and '))), lambda x: string_split(x, '&'))) AS p FROM (SELECT DISTINCT home FROM base WHERE home IS NOT NULL))))) WHERE n <= 3"),
+    "home_tail": (("home_form",), "SELECT home, part, k, array_to_string(l[len(l) - k + 1:], ' ') AS name, array_to_string(o[greatest(len(o) - k, 0) + 1:], ' ') AS original, trim(substr(lower(t), 1, length(t) - length(array_to_string(l[len(l) - k + 1:], ' ')))) AS child FROM (SELECT home, part, t, string_split(lower(t), ' ') AS l, string_split(t, ' ') AS o, unnest(range(1, len(string_split(t, ' ')) + 1)) AS k FROM home_form WHERE n = 1) UNION ALL SELECT home, part, 1, trim(string_split(lower(t), ',')[2]), trim(string_split(t, ',')[2]), trim(string_split(lower(t), ',')[1]) FROM home_form WHERE n = 2"),
+    "home_parent": (("home_tail", "admin"), "SELECT * FROM (SELECT *, min(k) OVER (PARTITION BY home, part) AS least_k FROM home_tail JOIN admin USING (name) WHERE len(abbreviations) = 0 OR list_contains(abbreviations, original)) WHERE k = least_k"),
+    "home_kid": (("home_parent", "gaz"), f"SELECT p.home, p.part, p.geonameid AS parent, p.child AS toponym, max(g.population) AS top, min_by({{'geonameid': g.geonameid, 'type': g.type, 'population': g.population, 'country_geonameid': g.country_geonameid, 'adm1_geonameid': g.adm1_geonameid, 'longitude': g.longitude, 'latitude': g.latitude}}, (-g.population, g.geonameid)) FILTER (WHERE NOT list_contains(g.languages, 'abbr') OR (list_contains(g.abbreviations, p.original) AND {family('g.', 'p.', 'p.child', 'p.name', siblings=False)})) AS best FROM home_parent p JOIN gaz g ON g.name = p.child WHERE p.child <> '' GROUP BY ALL"),
+    "home_town": (("home_form", "home_parent", "gaz"), f"SELECT home, toponym, best FROM (SELECT home, part, child AS toponym, max(population) AS top, min_by({{'geonameid': geonameid, 'type': type, 'population': population, 'country_geonameid': country_geonameid, 'adm1_geonameid': adm1_geonameid, 'longitude': longitude, 'latitude': latitude}}, (-population, geonameid)) FILTER (WHERE NOT list_contains(languages, 'abbr') OR list_contains(abbreviations, original)) AS best FROM (SELECT home, part, CASE WHEN n = 1 THEN lower(t) ELSE trim(string_split(lower(t), ',')[2]) END AS child, CASE WHEN n = 1 THEN t ELSE trim(string_split(t, ',')[2]) END AS original FROM home_form WHERE (home, part) NOT IN (SELECT (home, part) FROM home_parent)) f JOIN gaz ON gaz.name = child GROUP BY ALL) WHERE top >= {DEFAULT.home_min_population} AND best IS NOT NULL"),
+    "home_place": (("home_kid", "home_town", "home_parent"), "SELECT DISTINCT home, toponym, best.* FROM (SELECT home, toponym, best FROM home_kid WHERE top > 0 AND best IS NOT NULL UNION ALL SELECT home, toponym, best FROM home_town) UNION SELECT home, name, geonameid, type, population, country_geonameid, adm1_geonameid, longitude, latitude FROM home_parent p WHERE (home, part, geonameid) NOT IN (SELECT (home, part, parent) FROM home_kid WHERE top > 0 AND best IS NOT NULL)"),
+    "main_home": (("home_place",), "SELECT home, toponym AS home_toponym, geonameid AS home_geonameid, type AS home_type, population AS home_population, country_geonameid AS home_country_geonameid, adm1_geonameid AS home_adm1_geonameid, longitude AS home_longitude, latitude AS home_latitude FROM (SELECT *, row_number() OVER (PARTITION BY home ORDER BY population DESC, geonameid, toponym) AS r FROM home_place) WHERE r = 1"),
+    "here": (("candidate", "base", "point", "area", "post_zone", "area_zone", "main_home"), "SELECT c.*, user_id, posted_at, exact, x, y, coalesce(areas, []) AS areas, zones, area_zones, k.continents, h.* EXCLUDE (home) FROM candidate c JOIN base USING (post_id) LEFT JOIN point USING (post_id) LEFT JOIN area USING (post_id) LEFT JOIN post_zone USING (post_id) LEFT JOIN area_zone USING (geonameid) LEFT JOIN main_home h ON h.home = base.home LEFT JOIN countries k ON k.geonameid = c.country_geonameid"),
+    "at_point": (("here",), f"SELECT *, coalesce(CASE WHEN type = 'town' THEN {distance('x', 'y', 'longitude', 'latitude')} < {DEFAULT.near_m} WHEN type = 'continent' THEN list_contains(areas, geonameid) ELSE list_contains(areas, country_geonameid) END, false) AS supported FROM here"),
+    "kin": (("here",), f"SELECT DISTINCT a.post_id, a.toponym, a.geonameid FROM here a JOIN here b ON a.post_id = b.post_id AND a.toponym <> b.toponym WHERE {family('a.', 'b.', 'a.toponym', 'b.toponym', siblings=False, least=DEFAULT.family_min_population, continents='a.continents')}"),
+    "scored": (("at_point", "kin"), f"SELECT s.post_id, user_id, posted_at, lang, s.toponym, original, cut, s.geonameid, type, population, country_geonameid, adm1_geonameid, languages, abbreviations, CASE WHEN exact AND supported THEN {DEFAULT.score_coordinates} ELSE 0 END::DOUBLE AS s_coordinates, CASE WHEN home_geonameid IS NOT NULL AND {family('s.', 's.home_', 's.toponym', 's.home_toponym')} AND (home_type <> 'country' OR type = 'country' OR coalesce(population / nullif(home_population, 0), 0) > 0) THEN {DEFAULT.score_home} ELSE 0 END::DOUBLE AS s_home, CASE WHEN NOT exact AND supported THEN {DEFAULT.score_bbox} ELSE 0 END::DOUBLE AS s_bbox, CASE WHEN kin.post_id IS NOT NULL THEN {DEFAULT.score_family} ELSE 0 END::DOUBLE AS s_family, CASE WHEN coalesce(CASE WHEN type IN ('country', 'continent') THEN list_has_any(zones, area_zones) ELSE list_contains(zones, time_zone) END, false) THEN {DEFAULT.score_offset} ELSE 0 END::DOUBLE AS s_offset FROM at_point s LEFT JOIN kin USING (post_id, toponym, geonameid)"),
+    "stepped": (("scored",), f"SELECT *, unnest(range(greatest(1, ceil(epoch(posted_at - TIMESTAMP '2016-01-04') / {DEFAULT.slide_h * 3600})::BIGINT), least(112, floor((epoch(posted_at - TIMESTAMP '2016-01-04') + {DEFAULT.window_h * 3600}) / {DEFAULT.slide_h * 3600})::BIGINT) + 1)) AS step FROM scored"),
+    "user_row": (("stepped",), "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY step, toponym, geonameid, user_id ORDER BY posted_at DESC, post_id) AS r FROM stepped) WHERE r = 1"),
+    "pooled": (("user_row", "stepped"), "SELECT p.*, CASE WHEN any_kin THEN t_bbox ELSE 0 END AS t_family, CASE WHEN any_kin THEN t_bbox / users ELSE 0 END AS a_family FROM (SELECT step, toponym, geonameid, count(*) AS users, any_value(type) AS type, any_value(population) AS population, any_value(country_geonameid) AS country_geonameid, any_value(adm1_geonameid) AS adm1_geonameid, any_value(languages) AS languages, any_value(abbreviations) AS abbreviations, " + ", ".join(f"floor(sum(CASE WHEN {gate('languages', 'lang')} THEN s_{x} ELSE 0 END)) AS t_{x}" for x in ("coordinates", "home", "bbox", "offset")) + " FROM user_row GROUP BY 1, 2, 3) p JOIN (SELECT step, toponym, geonameid, sum(s_family) > 0 AS any_kin FROM stepped GROUP BY 1, 2, 3) USING (step, toponym, geonameid)"),
+    "averaged": (("pooled",), "SELECT *, round(t_coordinates / users + t_home / users + t_bbox / users + a_family + t_offset / users, 3) AS avg_score FROM pooled"),
+    "able": (("averaged",), f"SELECT *, type IN ('country', 'continent') AS wide, bool_or(type IN ('country', 'continent')) OVER (PARTITION BY step, toponym) AS any_wide, row_number() OVER w AS r, first_value(type) OVER w AS top_type, first_value(country_geonameid) OVER w AS top_country FROM averaged WHERE avg_score >= {DEFAULT.threshold} OR type IN ('country', 'continent') WINDOW w AS (PARTITION BY step, toponym ORDER BY avg_score DESC, population DESC, geonameid)"),
+    "winner": (("able",), "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY step, toponym ORDER BY CASE WHEN any_wide THEN CASE WHEN wide THEN -population END WHEN type = 'adm1' AND top_type <> 'adm1' AND country_geonameid IS NOT DISTINCT FROM top_country THEN r - 1000000 ELSE r END NULLS LAST, geonameid) AS place FROM able) WHERE place = 1"),
+    "placed": (("stepped", "winner"), f"SELECT step, post_id, toponym, geonameid, type, population, country_geonameid, adm1_geonameid, avg_score FROM (SELECT s.*, avg_score, {upper_first('original')} AS up, bool_or({upper_first('original')}) OVER (PARTITION BY step, post_id) AS any_up FROM stepped s JOIN (SELECT step, toponym, geonameid, avg_score FROM winner) USING (step, toponym, geonameid) WHERE {gate('languages', 'lang')} OR (list_contains(languages, 'abbr') AND list_contains(abbreviations, original))) WHERE up OR NOT any_up OR cut"),
+    "best": (("placed",), "SELECT post_id, toponym, step, geonameid, type, population, country_geonameid, adm1_geonameid, avg_score FROM (SELECT *, row_number() OVER (PARTITION BY post_id, toponym ORDER BY avg_score DESC, step) AS r FROM placed) WHERE r = 1"),
 }
 
 

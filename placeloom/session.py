@@ -39,10 +39,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends at files that survive executors."""
+    """df written to the shared folder and read again: its lineage ends at files that survive executors.
+
+    A collection on the driver then lets Spark delete the shuffle files nothing refers to any more."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
