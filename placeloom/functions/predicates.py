@@ -81,5 +81,5 @@ def matches_offset(place: Side, zones: Column, area_zones: Column) -> Column:
 def home_value(place: Side, home: Side, family: Column) -> Column:
     """1 where the place belongs to the author's home; of a country home, a smaller place's share of its
     population, at most 1; else 0. An unknown or empty home population gives 0."""
-    share = F.least(place("population") / F.nullif(home("population"), F.lit(0)), F.lit(1.0))
-    return F.when(~family, 0.0).when((home("type") == "country") & (place("type") != "country"), F.coalesce(share, F.lit(0.0))).otherwise(1.0)
+    share = F.coalesce(place("population") / F.nullif(home("population"), F.lit(0)), F.lit(0.0))
+    return F.when(~family, 0.0).when((home("type") == "country") & (place("type") != "country"), F.least(share, F.lit(1.0))).otherwise(1.0)
