@@ -1,7 +1,7 @@
 """Groups of near-duplicate texts within a time window (problem 2).
 
 Texts of the same words within half the window are one node, so that copies are never paired. A node's
-fingerprint has a bit for each of 64 word classes, set when the node has an odd number of words of
+fingerprint has a bit for each of 128 word classes, set when the node has an odd number of words of
 the class: it differs in at most as many bits as two nodes differ in words. Similar nodes share one
 of their rarest words, so nodes meet in shards by rare word; within a shard a vantage-point tree over
 the fingerprints finds those near enough, pruned by the triangle inequality. Shards of words that
@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeloom.llm.vptree import LEAF, Router, pairs_within
-from placeloom.llm.words import words
+from placeloom.llm.vptree import LEAF, Router, hamming, pairs_within
+from placeloom.llm.words import word_list
 from placeloom.session import broadcast_if_small, cut
 
 CLASSES = 1 << 18  #: word classes whose frequencies are counted
@@ -30,7 +30,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_hashes(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.transform(words(text), lambda w: F.hash(w))))
+    return F.sort_array(F.array_distinct(F.transform(word_list(text), lambda w: F.hash(F.lower(w)))))
 
 
 def class_counts(nodes: DataFrame) -> np.ndarray:
@@ -43,9 +43,14 @@ def class_counts(nodes: DataFrame) -> np.ndarray:
 
 
 def fingerprints(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Parity of the words in each of 64 classes, for each list of words. Lists aren't empty."""
-    bit = (values.astype(np.int64).astype(np.uint64) * _MIX) >> np.uint64(58)
-    return np.bitwise_xor.reduceat(np.uint64(1) << bit, offsets[:-1]) if len(offsets) > 1 else np.zeros(0, np.uint64)
+    """Parity of the words in each of 128 classes, as two words for each list. Lists aren't empty."""
+    if len(offsets) < 2:
+        return np.zeros((0, 2), np.uint64)
+    where = (values.astype(np.int64).astype(np.uint64) * _MIX) >> np.uint64(57)
+    bit = np.uint64(1) << (where & np.uint64(63))
+    high = where > np.uint64(63)
+    none = np.uint64(0)
+    return np.stack([np.bitwise_xor.reduceat(np.where(side, bit, none), offsets[:-1]) for side in (~high, high)], axis=1)
 
 
 class Threshold:
@@ -72,7 +77,8 @@ class Threshold:
 
 def group_nodes(docs: DataFrame, key: str, time: str, text: str, window_s: int, least_words: int) -> DataFrame:
     """(node, key, at): the node of each text of enough words. Null keys, times and texts are left out."""
-    rows = docs.select(F.col(key).alias("key"), F.unix_micros(F.col(time).cast("timestamp")).alias("at"), word_hashes(F.col(text)).alias("words"))
+    # The words come out of a generator, so that no later use works them out again.
+    rows = docs.select(F.col(key).alias("key"), F.unix_micros(F.col(time).cast("timestamp")).alias("at"), F.explode(F.array(word_hashes(F.col(text)))).alias("words"))
     rows = rows.where(F.col("key").isNotNull() & F.col("at").isNotNull() & (F.size("words") >= least_words))
     return rows.withColumn("node", F.xxhash64("words", F.floor(F.col("at") / (window_s * 500_000)).cast("long"))).select("node", "key", "at", "words")
 
@@ -83,8 +89,8 @@ def candidate_pairs(nodes: DataFrame, counts: np.ndarray, window_s: int, least:
     shared, router = sc.broadcast(counts.astype(np.int64)), None
     if counts.max(initial=0) > hot:
         sample = nodes.select("words", F.xxhash64("node").alias("o")).orderBy("o").limit(SAMPLE).collect()
-        prints = [int(fingerprints(np.array(r["words"], np.int64), np.array([0, len(r["words"])]))[0]) for r in sample]
-        router = sc.broadcast(Router(np.array(prints, np.uint64)))
+        prints = [fingerprints(np.array(r["words"], np.int64), np.array([0, len(r["words"])])) for r in sample]
+        router = sc.broadcast(Router(np.concatenate(prints)))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = shared.value
@@ -110,8 +116,8 @@ def candidate_pairs(nodes: DataFrame, counts: np.ndarray, window_s: int, least:
                 r = np.concatenate([r[~busy], r[busy][at]])
                 shard = np.concatenate([shard[~busy], part])
             first, last = batch.column("first").to_numpy(), batch.column("last").to_numpy()
-            cols = [(word << 12) | shard, first[r], batch.column("node").to_numpy()[r], prints[r].view(np.int64), (n[r] << 40) | (last[r] - first[r])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["shard", "first", "node", "print", "rest"])
+            cols = [(word << 12) | shard, first[r], batch.column("node").to_numpy()[r], prints[r, 0].view(np.int64), prints[r, 1].view(np.int64), (n[r] << 40) | (last[r] - first[r])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["shard", "first", "node", "low", "high", "rest"])
 
     window = window_s * 1_000_000
 
@@ -120,13 +126,13 @@ def candidate_pairs(nodes: DataFrame, counts: np.ndarray, window_s: int, least:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
             old = 0
             if kept is not None:
                 old = len(kept[0])
                 cols = [np.concatenate([k, c]) for k, c in zip(kept, cols)]
-            shard, first, node, bits, rest = cols
-            bits, n, last = bits.view(np.uint64), rest >> 40, first + (rest & ((1 << 40) - 1))
+            shard, first, node, low, high, rest = cols
+            bits, n, last = np.stack([low, high], axis=1).view(np.uint64), rest >> 40, first + (rest & ((1 << 40) - 1))
             yield from _meet(shard, first, last, node, bits, n, old)
             # What a later row of the same shard can still meet.
             keep = (shard == shard[-1]) & (first >= first[-1] - window - window // 2)
@@ -134,27 +140,36 @@ def candidate_pairs(nodes: DataFrame, counts: np.ndarray, window_s: int, least:
 
     def _meet(shard, first, last, node, bits, n, old) -> Iterator[pa.RecordBatch]:
         def told(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch | None:
-            ok = ((i >= old) | (j >= old)) & (node[i] != node[j]) & least.sizes(n[i], n[j])
+            # First what is cheap and leaves few pairs, then the exact bounds.
+            ok = np.flatnonzero(np.bitwise_count(low.take(i) ^ low.take(j)) <= most_apart.take(i))
             i, j = i[ok], j[ok]
-            ok = (first[i] - last[j] <= window) & (first[j] - last[i] <= window) & (np.bitwise_count(bits[i] ^ bits[j]) <= least.apart(n[i], n[j]))
+            ok = (hamming(bits.take(i, axis=0), bits.take(j, axis=0)) <= least.apart(n[i], n[j])) & ((i >= old) | (j >= old)) & (node[i] != node[j]) & least.sizes(n[i], n[j])
+            i, j = i[ok], j[ok]
+            ok = (first[i] - last[j] <= window) & (first[j] - last[i] <= window)
             a, b = node[i[ok]], node[j[ok]]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"]) if len(a) else None
 
+        low = np.ascontiguousarray(bits[:, 0])
+        most_apart = np.minimum(least.radius(n), 255).astype(np.uint8)
         starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
         ends = np.append(starts[1:], len(shard))
-        small = (ends - starts <= LEAF) & (ends - starts > 1)
-        s, e = starts[small], ends[small]
-        end_of = np.repeat(e, e - s)
-        i = np.arange(len(end_of)) - np.repeat(np.cumsum(e - s) - (e - s), e - s) + np.repeat(s, e - s)
+        group = np.repeat(np.arange(len(starts)), ends - starts)
+        # Rows of the same shard that begin before a row's window ends, in whole seconds.
+        begin = (first - first.min()) // 1_000_000
+        span = int(begin.max()) + window_s * 2
+        ahead = np.searchsorted(group * span + begin, group * span + begin + (last - first + window) // 1_000_000 + 1, side="right")
+        ahead = np.minimum(ahead, ends[group])
+        most = np.maximum.reduceat(ahead - np.arange(len(ahead)), starts)
+        i = np.flatnonzero((most <= LEAF)[group])
+        reach = ahead[i] - i
         for lag in range(1, LEAF):
-            live = i + lag < end_of
-            i, end_of = i[live], end_of[live]
+            live = reach > lag
+            i, reach = i[live], reach[live]
             if not len(i):
                 break
-            near = first[i + lag] - last[i] <= window
-            if (got := told(i[near], i[near] + lag)) is not None:
+            if (got := told(i, i + lag)) is not None:
                 yield got
-        for s, e in zip(starts[ends - starts > LEAF], ends[ends - starts > LEAF]):
+        for s, e in zip(starts[most > LEAF], ends[most > LEAF]):
             # Slices of one window and a half: a row meets rows of its own slice and of the one before.
             slices = (first[s:e] - first[s]) // (window + window // 2)
             cuts = s + np.concatenate([[0], np.flatnonzero(np.diff(slices)) + 1, [e - s]])
@@ -173,7 +188,7 @@ def candidate_pairs(nodes: DataFrame, counts: np.ndarray, window_s: int, least:
                                 yield got
                 before = own
 
-    spreaded = nodes.select("node", "words", "first", "last").mapInArrow(spread, "shard long, first long, node long, print long, rest long")
+    spreaded = nodes.select("node", "words", "first", "last").mapInArrow(spread, "shard long, first long, node long, low long, high long, rest long")
     return spreaded.repartition("shard").sortWithinPartitions("shard", "first").mapInArrow(meet, "a long, b long")
 
 
@@ -241,15 +256,14 @@ def near_duplicates(docs: DataFrame, key: str, time: str, text: str, num: int =
     """
     least = Threshold(num, den)
     rows = group_nodes(docs, key, time, text, window_s, least_words)
-    nodes = rows.groupBy("node").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min("at").alias("first"), F.max("at").alias("last"), F.first("words").alias("words"))
     counts = class_counts(rows)
-    found = candidate_pairs(nodes, counts, window_s, least, hot).distinct()
-    told = nodes.select("node", "words")
+    nodes = cut(rows.groupBy("node").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.first("words").alias("words")))
+    found = cut(candidate_pairs(nodes, counts, window_s, least, hot).distinct())
+    ends = broadcast_if_small(found.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    told = nodes.select("node", "words").join(ends, "node", "left_semi")
     checked = found.join(told.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a").join(told.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
     roots = components(checked.where(similar(F.col("wa"), F.col("wb"), least)).select("a", "b"))
-    low = rows.groupBy("node").agg(F.min("key").alias("low"), F.max("key").alias("high"))
-    joined = low.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).where(F.col("low").eqNullSafe(F.col("high")) == F.lit(False)).select("node", "root", "low")
-    single = low.join(roots, "node").select("node", "root", "low").unionByName(joined.join(roots, "node", "left_anti"))
-    group = single.groupBy("root").agg(F.min("low").alias("group_id"))
-    member = broadcast_if_small(cut(single.join(group, "root").select("node", "group_id")))
-    return rows.select("node", "key").join(member, "node").select("group_id", F.col("key").alias(key)).distinct()
+    placed = rows.select("node", "key").join(broadcast_if_small(roots), "node", "left").select(F.coalesce("root", "node").alias("root"), "key")
+    placed = cut(placed.distinct())
+    groups = placed.groupBy("root").agg(F.min("key").alias("group_id"), F.max("key").alias("_last")).where("group_id <> _last").drop("_last")
+    return placed.join(broadcast_if_small(groups), "root").select("group_id", F.col("key").alias(key))

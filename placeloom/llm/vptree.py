@@ -1,14 +1,19 @@
-"""Vantage-point trees over 64-bit fingerprints under the Hamming distance, in numpy."""
+"""Vantage-point trees over 128-bit fingerprints under the Hamming distance, in numpy.
+
+Fingerprints are rows of two unsigned 64-bit words.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
-LEAF = 64  #: fingerprints compared one by one at the end of a branch
+LEAF = 128  #: fingerprints compared one by one at the end of a branch
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).astype(np.int64)
+    """Differing bits, of two words a fingerprint."""
+    count = np.bitwise_count(a ^ b)
+    return count[..., 0] + count[..., 1]
 
 
 def _split(prints: np.ndarray, at: np.ndarray, leaf: int) -> tuple[int, int, np.ndarray, np.ndarray] | None:
@@ -16,7 +21,7 @@ def _split(prints: np.ndarray, at: np.ndarray, leaf: int) -> tuple[int, int, np.
     if len(at) <= leaf:
         return None
     vantage = int(at[len(at) // 2])
-    d = hamming(prints[at], prints[vantage])
+    d = hamming(prints[at], prints[vantage]).astype(np.int64)
     edge = int(np.median(d))
     if edge >= d.max():
         edge = int(d.max()) - 1
@@ -31,6 +36,8 @@ def pairs_within(prints: np.ndarray, queries: np.ndarray, radius: np.ndarray, le
     Branches are pruned by the triangle inequality: a query meets the inside when its distance to
     the vantage point less its radius is within the boundary, the outside when the sum is beyond.
     """
+    low, asked = np.ascontiguousarray(prints[:, 0]), np.ascontiguousarray(queries[:, 0])
+    near = np.minimum(radius, 255).astype(np.uint8)
     stack = [(np.arange(len(prints)), np.arange(len(queries)))]
     while stack:
         at, q = stack.pop()
@@ -38,15 +45,18 @@ def pairs_within(prints: np.ndarray, queries: np.ndarray, radius: np.ndarray, le
             continue
         parted = _split(prints, at, leaf)
         if parted is None:
+            # The first word alone rules out most; the rest is compared as a whole.
             for lo in range(0, len(at), 256):
                 some = at[lo : lo + 256]
-                for qlo in range(0, len(q), 4096):
-                    qs = q[qlo : qlo + 4096]
-                    i, j = np.nonzero(hamming(queries[qs][:, None], prints[some][None, :]) <= radius[qs][:, None])
-                    yield qs[i], some[j]
+                for qlo in range(0, len(q), 1024):
+                    qs = q[qlo : qlo + 1024]
+                    i, j = np.nonzero(np.bitwise_count(asked[qs][:, None] ^ low[some][None, :]) <= near[qs][:, None])
+                    i, j = qs[i], some[j]
+                    ok = hamming(queries.take(i, axis=0), prints.take(j, axis=0)) <= near[i]
+                    yield i[ok], j[ok]
             continue
         vantage, edge, inside, outside = parted
-        d = hamming(queries[q], prints[vantage])
+        d = hamming(queries[q], prints[vantage]).astype(np.int64)
         stack += [(inside, q[d - radius[q] <= edge]), (outside, q[d + radius[q] > edge])]
 
 
@@ -54,7 +64,7 @@ class Router:
     """The upper part of a vantage-point tree: its leaves are the shards of a large group."""
 
     def __init__(self, sample: np.ndarray, shards: int = 64):
-        self.nodes: list[tuple[int, int, int, int]] = []  # vantage print, boundary, inside, outside; leaves are < 0
+        self.nodes: list[tuple[np.ndarray, int, int, int]] = []  # vantage print, boundary, inside, outside; leaves are < 0
         self.leaves = 0
         self.root = self._build(np.asarray(sample, np.uint64), max(1, len(sample) // shards))
 
@@ -65,8 +75,8 @@ class Router:
             return -self.leaves
         vantage, edge, inside, outside = parted
         k = len(self.nodes)
-        self.nodes.append((0, 0, 0, 0))
-        self.nodes[k] = (int(prints[vantage]), edge, self._build(prints[inside], leaf), self._build(prints[outside], leaf))
+        self.nodes.append((prints[vantage], 0, 0, 0))
+        self.nodes[k] = (prints[vantage], edge, self._build(prints[inside], leaf), self._build(prints[outside], leaf))
         return k
 
     def shards(self, prints: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,6 +91,6 @@ class Router:
                 found.append(np.full(len(q), -k))
                 continue
             vantage, edge, inside, outside = self.nodes[k]
-            d = hamming(prints[q], np.uint64(vantage))
+            d = hamming(prints[q], vantage).astype(np.int64)
             stack += [(inside, q[d - radius[q] <= edge]), (outside, q[d + radius[q] > edge])]
         return np.concatenate(rows), np.concatenate(found)
