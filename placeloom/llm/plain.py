@@ -27,7 +27,7 @@ LATIN_LOOKALIKES = (
     "ɑa ɡg ɩi ʏy ꮯc ᴏo ᴄc ᴠv ᴡw ᴢz ɪi Ꭺa"
 )
 # Cyrillic letters and the Latin letters that look like them.
-CYRILLIC_LOOKALIKES = "aа eе oо pр cс yу xх iі jј sѕ hһ AА BВ EЕ KК MМ HН OО PР CС TТ YУ XХ IІ JЈ SЅ kк mм tт"
+CYRILLIC_LOOKALIKES = "aа eе oо pр cс yу xх jј AА BВ EЕ KК MМ HН OО PР CС TТ YУ XХ JЈ kк mм tт"
 
 TO_LATIN = {a: b for a, b in LATIN_LOOKALIKES.split()}
 TO_CYRILLIC = {a: b for a, b in CYRILLIC_LOOKALIKES.split()}
