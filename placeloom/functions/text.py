@@ -54,8 +54,18 @@ def split_marks(text: Column) -> Column:
     return F.translate(text, "_'", "  ")
 
 
+#: Every kind of white space.
+SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"[ \t\r\n\f]+", " "))
+    """White space of any kind as single spaces, none at the ends."""
+    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
 def clean_text(text: Column, lower: bool = True, full_entities: bool = False) -> Column:

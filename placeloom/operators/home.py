@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from placeloom.config import DEFAULT, Settings
 from placeloom.functions.predicates import is_family, side
+from placeloom.functions.text import strip
 from placeloom.session import broadcast_if_small
 
 PLACE = ["geonameid", "type", "population", "country_geonameid", "adm1_geonameid", "longitude", "latitude"]
@@ -24,9 +25,9 @@ def split_home(home: Column) -> Column:
 def home_forms(homes: DataFrame) -> DataFrame:
     """(home, part, n, text, lower): each alternative stripped, dots left out, with its number of comma
     parts. Of three parts the first and second are joined to one; more are dropped."""
-    rows = homes.select("home", F.posexplode(split_home(F.col("home"))).alias("part", "_t")).withColumn("text", F.replace(F.trim("_t"), F.lit("."), F.lit("")))
+    rows = homes.select("home", F.posexplode(split_home(F.col("home"))).alias("part", "_t")).withColumn("text", F.replace(strip(F.col("_t")), F.lit("."), F.lit("")))
     rows = rows.withColumn("_c", F.split("text", ",")).withColumn("n", F.size("_c"))
-    joined = F.trim(F.concat(F.get("_c", F.lit(0)), F.get("_c", F.lit(1))))
+    joined = strip(F.concat(F.get("_c", F.lit(0)), F.get("_c", F.lit(1))))
     rows = rows.withColumn("text", F.when(F.col("n") == 3, joined).otherwise(F.col("text"))).withColumn("n", F.when(F.col("n") == 3, 1).otherwise(F.col("n")))
     return rows.where("n <= 2").select("home", "part", "n", "text", F.lower("text").alias("lower"))
 
@@ -38,9 +39,9 @@ def home_parents(forms: DataFrame, admin: DataFrame) -> DataFrame:
     one = forms.where("n = 1").withColumn("_w", F.split("lower", " ")).withColumn("_o", F.split("text", " "))
     one = one.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("_w"))))
     tail = F.array_join(F.slice("_w", -F.col("k"), F.col("k")), " ")
-    one = one.select("home", "part", "k", tail.alias("name"), F.array_join(F.slice("_o", -F.least("k", F.size("_o")), F.least("k", F.size("_o"))), " ").alias("original"), F.trim(F.substring(F.col("lower"), F.lit(1), F.length("lower") - F.length(tail))).alias("child"))
+    one = one.select("home", "part", "k", tail.alias("name"), F.array_join(F.slice("_o", -F.least("k", F.size("_o")), F.least("k", F.size("_o"))), " ").alias("original"), strip(F.substring(F.col("lower"), F.lit(1), F.length("lower") - F.length(tail))).alias("child"))
     two = forms.where("n = 2").withColumn("_c", F.split("lower", ",")).withColumn("_o", F.split("text", ","))
-    two = two.select("home", "part", F.lit(1).alias("k"), F.trim(F.get("_c", F.lit(1))).alias("name"), F.trim(F.get("_o", F.lit(1))).alias("original"), F.trim(F.get("_c", F.lit(0))).alias("child"))
+    two = two.select("home", "part", F.lit(1).alias("k"), strip(F.get("_c", F.lit(1))).alias("name"), strip(F.get("_o", F.lit(1))).alias("original"), strip(F.get("_c", F.lit(0))).alias("child"))
     met = one.unionByName(two).join(broadcast_if_small(admin), "name").where((F.size("abbreviations") == 0) | F.array_contains("abbreviations", F.col("original")))
     least = met.groupBy("home", "part").agg(F.min("k").alias("k"))
     return met.join(least, ["home", "part", "k"]).select("home", "part", "name", "original", "child", *PLACE)
@@ -70,7 +71,7 @@ def home_places(homes: DataFrame, admin: DataFrame, gazetteer: DataFrame, settin
     areas = left.select("home", "part", F.col("name").alias("toponym"), *PLACE)
 
     lone = forms.join(parents.select("home", "part").distinct(), ["home", "part"], "left_anti")
-    lone = lone.select("home", "part", F.when(F.col("n") == 1, F.col("lower")).otherwise(F.trim(F.get(F.split("lower", ","), F.lit(1)))).alias("child"), F.when(F.col("n") == 1, F.col("text")).otherwise(F.trim(F.get(F.split("text", ","), F.lit(1)))).alias("original"))
+    lone = lone.select("home", "part", F.when(F.col("n") == 1, F.col("lower")).otherwise(strip(F.get(F.split("lower", ","), F.lit(1)))).alias("child"), F.when(F.col("n") == 1, F.col("text")).otherwise(strip(F.get(F.split("text", ","), F.lit(1)))).alias("original"))
     towns = lone.join(names, "child").groupBy("home", "part", "child").agg(F.max("g_population").alias("_top"), F.min(F.when(~coded | F.array_contains("abbreviations", F.col("original")), F.struct((-F.col("g_population")).alias("_order"), *("g_" + f for f in ["geonameid"] + PLACE[1:])))).alias("_best"))
     towns = towns.where((F.col("_top") >= settings.home_min_population) & F.col("_best").isNotNull()).select("home", F.col("child").alias("toponym"), *(F.col("_best.g_" + f).alias(f) for f in PLACE))
     return taken.select("home", "toponym", *PLACE).unionByName(areas.select("home", "toponym", *PLACE)).unionByName(towns).distinct()

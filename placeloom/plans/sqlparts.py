@@ -41,6 +41,7 @@ def family(a: str, b: str, a_name: str, b_name: str, siblings: bool = True, by_l
 
 
 WORD = r"[\p{L}\p{M}\p{N}_]"
+SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 PUNCT = r"[!-/:-@\[-`{-~]"
 TOKEN = r"[\p{L}\p{M}\p{N}_]+(?:[-''][\p{L}\p{M}\p{N}_]+)*|\.{2,}|[^\s\p{L}\p{M}\p{N}_]"
 
@@ -51,7 +52,7 @@ def clean(text: str = "text") -> str:
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
         x = f"replace({x}, '{entity}', '{char}')"
     x = f"regexp_replace(regexp_replace({x}, '([^\\n])([A-Z]+[a-z]+(?:-[A-Z+a-z]+)*)', '\\1 \\2', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')"
-    return f"trim(regexp_replace(replace(replace({x}, '_', ' '), '''', ' '), '[ \\t\\r\\n\\f]+', ' ', 'g'))"
+    return f"trim(regexp_replace(replace(replace({x}, '_', ' '), '''', ' '), '{SPACE}+', ' ', 'g'))"
 
 
 def title(x: str) -> str:
