@@ -27,7 +27,9 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str, settings: Settings = DEFAULT):
         self.spark, self.settings = spark, settings
         self.raw = table(spark, sf_dir, "posts")
-        self.posts = ca.base_posts(self.raw)
+        # By post_id, so that leaving out repeats needs no further shuffle and few files still fill all tasks.
+        tasks = max(spark.sparkContext.defaultParallelism, self.raw.rdd.getNumPartitions())
+        self.posts = ca.base_posts(self.raw.repartition(tasks, "post_id"))
         self.geonames, self.alternates, self.adm1, self.countries, self.words = (table(spark, sf_dir, t) for t in ("geonames", "alternate_names", "adm1", "countries", "most_common_words"))
         self.tags = spark.createDataFrame(tag_rows(), "tag string, lang string")
         self.written: dict[str, DataFrame] = {}

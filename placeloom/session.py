@@ -69,3 +69,9 @@ def ship(spark: SparkSession) -> None:
             z.write(f, Path(root.name) / f.relative_to(root))
     sc.addPyFile(str(target))
     sc._placeloom_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table's rows over at least as many tasks as run at once. Only a table of few files is shuffled."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
