@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from placeloom.llm.language import fit_languages, label_languages, language_code
 from placeloom.llm.plain import plain_forms
 from placeloom.llm.words import words
-from placeloom.session import table
+from placeloom.session import spread, table
 
 LEAST_WORDS = 6  #: shorter posts get no language
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = table(spark, sf_dir, "posts").select(F.lit("post").alias("record_kind"), F.col("post_id").alias("record_id"), "text")
+    posts = spread(table(spark, sf_dir, "posts")).select(F.lit("post").alias("record_kind"), F.col("post_id").alias("record_id"), "text")
     names = table(spark, sf_dir, "alternate_names").select(F.lit("name").alias("record_kind"), F.col("alternatenameid").cast("string").alias("record_id"), F.col("alternate_name").alias("text"))
     return posts.unionByName(names)
 
@@ -32,7 +32,7 @@ def p4_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = table(spark, sf_dir, "posts").select("post_id", "text", "lang")
+    posts = spread(table(spark, sf_dir, "posts").select("post_id", "text", "lang"))
     model = fit_languages(posts, "text", "lang")
     enough = posts.select("post_id", "text", language_code(F.col("lang")).alias("label")).where(F.size(words(F.col("text"))) >= LEAST_WORDS)
     return label_languages(enough, ["post_id", "label"], "text", model)
