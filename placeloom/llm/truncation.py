@@ -5,7 +5,7 @@ their node by an equi-join. A text counts as cut when it ends in a mark of omiss
 character, or when what is left after complete endings (tags, links, emoji, signatures, closing
 quotation marks and brackets) doesn't end a sentence. Headlines end none either: a single line
 whose shape is that of first lines elsewhere in the corpus counts as one, unless its final token
-is an unknown proper prefix of known words and its length is its source's limit.
+is an unknown proper prefix of known words.
 """
 
 from __future__ import annotations
@@ -91,5 +91,5 @@ def find_truncated(docs: DataFrame, key: str, text: str, source: str) -> DataFra
 
     prefix = F.coalesce(~F.col("is_word") & (F.col("below") > 0), F.lit(False))
     at_limit, headline = F.coalesce(F.col("_n") >= F.col("limit") - 1, F.lit(False)), F.coalesce(F.col("_shaped"), F.lit(False))
-    truncated = F.col("_marked") | (F.col("_open") & (~headline | (prefix & at_limit)))
+    truncated = F.col("_marked") | (F.col("_open") & (~headline | prefix))
     return told.select(F.col("_key").alias(key), F.col("_source").alias(source), truncated.alias("truncated"), F.col("_token").alias("final_token"), prefix.alias("unknown_prefix"), at_limit.alias("at_limit"), headline.alias("headline"))

@@ -88,3 +88,12 @@ def test_truncation(spark):
     assert flagged == {i for i, t in enumerate(texts) if t in CUT} | {901}
     assert {r["id"]: r["unknown_prefix"] for r in got}[len(COMPLETE)] is True
     assert truncation.find_truncated(df.limit(0), "id", "text", "src").count() == 0
+
+
+def test_cut_headline_is_told_by_its_final_token(spark):
+    filler = [f"High water in Place{i}\nThe river rose in Oakport. The road is closed." for i in range(6)]
+    texts = [*filler, "High water in Oakp", "High water in Oakport", "High water in Elmford"]
+    df = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "id int, text string, src string")
+    got = {texts[r["id"]]: r for r in truncation.find_truncated(df, "id", "text", "src").collect()}
+    assert {t for t, r in got.items() if r["truncated"]} == {"High water in Oakp"}
+    assert got["High water in Oakp"]["headline"] and not got["High water in Oakp"]["at_limit"]
