@@ -261,6 +261,12 @@ def _(t: Tables) -> DataFrame:
     return points_near_points(t.posts, towns, "post_id", "lon", "lat", "geonameid", "longitude", "latitude", DEFAULT.near_m)
 
 
+@query("op_j13_all_towns", f"SELECT post_id, geonameid FROM base JOIN geonames ON feature_class = 'P' AND lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90 AND {distance('lon', 'lat', 'longitude', 'latitude')} < {DEFAULT.near_m}", "base")
+def _(t: Tables) -> DataFrame:
+    """Towns of any population, also of none."""
+    return points_near_points(t.posts, t.geonames.where("feature_class = 'P'"), "post_id", "lon", "lat", "geonameid", "longitude", "latitude", DEFAULT.near_m)
+
+
 @query("op_j14_zones_of_posts", "SELECT post_id, array_to_string(zones, '|') AS zones FROM post_zone", "post_zone")
 def _(t: Tables) -> DataFrame:
     return t.zones().select("post_id", F.array_join("zones", "|").alias("zones"))
