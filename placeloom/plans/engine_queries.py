@@ -95,6 +95,15 @@ def _(t: Tables) -> DataFrame:
     return grams.groupBy("gram").agg(F.count("*").alias("posts")).where("posts > 1")
 
 
+@query("op_s16_all_ngrams", "SELECT lang, gram, count(*) AS posts FROM (SELECT g.post_id, g.lang, unnest(grams) AS gram FROM gram_list g JOIN base USING (post_id) WHERE NOT coalesce(retweet, false)) GROUP BY 1, 2", "gram_list", "base")
+def _(t: Tables) -> DataFrame:
+    """The n-grams of every language, those of one post too."""
+    tokens = tx.tokenize(tx.clean_text(F.col("text"), lower=False), remove_punctuation=True)
+    rows = t.posts.where("not coalesce(retweet, false)").select("lang", F.explode(F.array(tokens)).alias("t"))
+    grams = rows.select("lang", F.explode(tx.without_digits(tx.ngrams(F.col("t"), 1, DEFAULT.max_ngram))).alias("gram"))
+    return grams.groupBy("lang", "gram").agg(F.count("*").alias("posts"))
+
+
 # --- gazetteer ---
 
 

@@ -1,5 +1,6 @@
 """Registered queries on a small folder of tables, against brute force."""
 
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -33,3 +34,12 @@ def test_towns_of_any_population_are_near(spark, folder):
     want = sorted((p[0], t[0]) for p in POSTS if p[4] and abs(p[4][0]) <= 180 for t in TOWNS if t[1] == "P" and metres(p[4], t[3:]) < 200_000)
     assert {t for _, t in want} == {1, 2, 3}
     assert sorted(map(tuple, QUERIES["op_j13_all_towns"](spark, folder).collect())) == want
+
+
+def test_ngrams_of_all_languages_and_of_one_post(spark, folder):
+    want = Counter()
+    for _, text, lang, again, _ in POSTS:
+        w = text.split()
+        want.update(() if again else {(lang, " ".join(w[i:j])) for i in range(len(w)) for j in range(i + 1, min(len(w), i + 3) + 1)})
+    got = {(r["lang"], r["gram"]): r["posts"] for r in QUERIES["op_s16_all_ngrams"](spark, folder).collect()}
+    assert got == want and got["nl", "komt"] == 1 and got["en", "Water rises"] == 2
