@@ -214,3 +214,51 @@ def label_languages(docs: DataFrame, key: list[str], text: str, model: LanguageM
             yield pdf[key].assign(segments=out)
 
     return docs.select(*key, sentences(F.col(text)).alias("_text")).mapInPandas(run, schema)
+
+
+def label_segments(docs: DataFrame, key: list[str], text: str, model: LanguageModel, least_words: int = 5) -> DataFrame:
+    """(key columns, segments): segments is an array of struct<lang, confidence, first, last>, one entry for
+    each run of sentences of one language, in order; first and last number the sentences from 0.
+
+    Every document has at least one entry, and every sentence with letters is in one. lang and
+    confidence are null where a sentence's lead is under the model's floor. The confidence of sentences
+    under least_words words is lowered in proportion; a run has the mean of its sentences by words.
+    Lines without letters don't part a run. Where no sentence passes, the document is judged as a whole.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in key), "segments array<struct<lang:string,confidence:double,first:int,last:int>>"])
+
+    def weight(words: int) -> float:
+        return min(1.0, words / least_words)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shipped.value
+        for pdf in batches:
+            split = [(t or "").split("\n") for t in pdf["_text"]]
+            lines = [s for x in split for s in x]
+            best, sure, lead = m.predict(lines)
+            out, at, doubtful = [], 0, []
+            for d, x in enumerate(split):
+                runs: list[list] = []  # language, sum of confidence by words, words, first, last
+                for k in range(at, at + len(x)):
+                    if not any(map(str.isalpha, lines[k])):
+                        continue
+                    words = len(lines[k].split())
+                    lang = m.classes[best[k]] if lead[k] >= m.floor else None
+                    if not runs or runs[-1][0] != lang:
+                        runs.append([lang, 0.0, 0, k - at, k - at])
+                    runs[-1][1] += float(sure[k]) * weight(words) * words
+                    runs[-1][2] += words
+                    runs[-1][4] = k - at
+                at += len(x)
+                out.append([(lang, total / words if lang else None, first, last) for lang, total, words, first, last in runs] or [(None, None, 0, len(x) - 1)])
+                if runs and all(r[0] is None for r in runs):
+                    doubtful.append(d)
+            wholes = [" ".join(split[d]) for d in doubtful]
+            for d, t, c, conf, gap in zip(doubtful, wholes, *m.predict(wholes)):
+                if gap >= m.floor:
+                    out[d] = [(m.classes[c], float(conf) * weight(len(t.split())), 0, len(split[d]) - 1)]
+            yield pdf[key].assign(segments=out)
+
+    return docs.select(*key, sentences(F.col(text)).alias("_text")).mapInPandas(run, schema)

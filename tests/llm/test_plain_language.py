@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placeloom.llm import language as lg
+from placeloom.llm import text_queries
 from placeloom.llm.plain import plain, plain_forms, unstable_pattern
 
 CASES = {
@@ -98,3 +99,19 @@ def test_language_codes(spark):
     want = {"en": "en", "EN": "en", "en-US": "en", "spa": "es", "in": "id", "sr-Cyrl": "sr", "": None, " ": None, "und": None, "zxx": None, "unknown": None, "ru": "other", None: None}
     df = spark.createDataFrame([(k,) for k in want], "l string")
     assert {r["l"]: r["c"] for r in df.select("l", lg.language_code(F.col("l")).alias("c")).collect()} == want
+
+
+def test_every_run_of_sentences_has_a_segment(spark, tmp_path):
+    en, es = SENTENCES["en"].capitalize() + ".", SENTENCES["es"].capitalize() + "."
+    texts = {"runs": f"{en} {en} {es} {en}", "short": "the river has risen", "tail": f"{es} the people are waiting.", "none": "🌊 https://t.example/x", "null": None}
+    rows = [(str(i), t, lang) for i, (t, lang) in enumerate(corpus(40, 1))] + [(i, t, None) for i, t in texts.items()] + [("short", texts["short"], None)]
+    spark.createDataFrame(rows, "post_id string, text string, lang string").write.parquet(f"{tmp_path}/posts.parquet")
+    got = {}
+    for r in text_queries.p5_segments(spark, str(tmp_path)).orderBy("post_id", "first").collect():
+        got.setdefault(r["post_id"], []).append(r)
+    runs = {i: [(r["lang"], r["first"], r["last"]) for r in got[i]] for i in texts}
+    assert runs["runs"] == [("en", 0, 1), ("es", 2, 2), ("en", 3, 3)]
+    assert runs["short"] == [("en", 0, 0)] and 0 < got["short"][0]["confidence"] <= 0.8
+    assert runs["tail"] == [("es", 0, 0), ("en", 1, 1)] and got["tail"][1]["confidence"] <= 0.8
+    assert [tuple(r)[1:3] for i in ("none", "null") for r in got[i]] == [(None, None)] * 2
+    assert len(got) == 400 + len(texts)
