@@ -17,7 +17,8 @@ from placeloom.session import broadcast_if_small
 
 KNOWN_DOCS = 2  #: a word is known when it stands in so many documents, not as their final token
 SHAPE_DOCS = 3  #: a line shape is a headline's when so many documents begin with it
-LIMIT_DOCS, LIMIT_SHARE = 5, 0.02  #: a source has a length limit when so many texts have its greatest length
+LIMIT_DOCS, LIMIT_SHARE = 5, 0.02  #: a source has a length limit when so many texts have just one length
+SPIKE, SPIKE_REACH = 4, 10  #: and so many times as many as any length so near
 LONGEST_WORD = 40  #: longer runs of letters aren't words of the vocabulary
 
 _EMOJI = r"[\x{1f000}-\x{1faff}\x{2600}-\x{27bf}\x{2b00}-\x{2bff}\x{fe0f}\x{200d}\x{e0020}-\x{e007f}]"
@@ -55,10 +56,19 @@ def vocabulary_trie(docs: DataFrame, text: str, known_docs: int = KNOWN_DOCS) ->
 
 
 def length_limits(docs: DataFrame, text: str, source: str) -> DataFrame:
-    """(_source, limit): greatest length of a source, where many of its texts have just that length."""
-    sizes = docs.groupBy(F.col(source).alias("_source"), F.length(text).alias("n")).count()
-    top = sizes.groupBy("_source").agg(F.max(F.struct("n", "count")).alias("top"), F.sum("count").alias("all"))
-    return top.where((F.col("top.count") >= LIMIT_DOCS) & (F.col("top.count") >= LIMIT_SHARE * F.col("all"))).select("_source", F.col("top.n").alias("limit"))
+    """(_source, limit): the length of a source at which its texts pile up, whether longer ones follow or not.
+
+    A length is a limit when many texts have just that length, SPIKE times as many as the most frequent of
+    the SPIKE_REACH lengths on either side but the next shorter (some are cut a character early). Of several,
+    the most frequent counts, then the longest.
+    """
+    sizes = docs.groupBy(F.col(source).alias("_source"), F.length(text).alias("n")).count().where("n is not null")
+    around = sizes.select("_source", "count", F.explode(F.expr(f"filter(sequence(n - {SPIKE_REACH}, n + {SPIKE_REACH}), m -> m not in (n, n + 1))")).alias("n"))
+    around = around.groupBy("_source", "n").agg(F.max("count").alias("near"))
+    all_of = sizes.groupBy("_source").agg(F.sum("count").alias("all"))
+    spikes = sizes.join(around, ["_source", "n"], "left").join(all_of, "_source")
+    spikes = spikes.where((F.col("count") >= LIMIT_DOCS) & (F.col("count") >= LIMIT_SHARE * F.col("all")) & (F.col("count") >= SPIKE * F.coalesce("near", F.lit(0))))
+    return spikes.groupBy("_source").agg(F.max(F.struct("count", "n")).alias("top")).select("_source", F.col("top.n").alias("limit"))
 
 
 def headline_shapes(docs: DataFrame, text: str) -> DataFrame:
@@ -90,6 +100,6 @@ def find_truncated(docs: DataFrame, key: str, text: str, source: str) -> DataFra
     told = told.join(ends, "_token", "left").join(shapes, "_line", "left").join(limits, "_source", "left")
 
     prefix = F.coalesce(~F.col("is_word") & (F.col("below") > 0), F.lit(False))
-    at_limit, headline = F.coalesce(F.col("_n") >= F.col("limit") - 1, F.lit(False)), F.coalesce(F.col("_shaped"), F.lit(False))
+    at_limit, headline = F.coalesce(F.col("_n").between(F.col("limit") - 1, F.col("limit")), F.lit(False)), F.coalesce(F.col("_shaped"), F.lit(False))
     truncated = F.col("_marked") | (F.col("_open") & (~headline | prefix))
     return told.select(F.col("_key").alias(key), F.col("_source").alias(source), truncated.alias("truncated"), F.col("_token").alias("final_token"), prefix.alias("unknown_prefix"), at_limit.alias("at_limit"), headline.alias("headline"))

@@ -97,3 +97,12 @@ def test_cut_headline_is_told_by_its_final_token(spark):
     got = {texts[r["id"]]: r for r in truncation.find_truncated(df, "id", "text", "src").collect()}
     assert {t for t, r in got.items() if r["truncated"]} == {"High water in Oakp"}
     assert got["High water in Oakp"]["headline"] and not got["High water in Oakp"]["at_limit"]
+
+
+def test_length_limits_are_spikes(spark):
+    rows = [("wire", 1200)] * 40 + [("wire", 39_914), ("wire", 1500), *(("wire", 900 + i) for i in range(300))] + [("relay", 160)] * 20 + [("relay", 159)] * 3 + [("relay", 100 + i % 50) for i in range(100)]
+    rows += [("free", 100 + i % 20) for i in range(400)]
+    df = spark.createDataFrame(rows, "src string, n int").select("src", F.repeat(F.lit("x"), F.col("n")).alias("text"))
+    assert {r["_source"]: r["limit"] for r in truncation.length_limits(df, "text", "src").collect()} == {"wire": 1200, "relay": 160}
+    got = truncation.find_truncated(df.withColumn("n", F.length("text")), "n", "text", "src").where("at_limit").select("src", "n").distinct().collect()
+    assert {tuple(r) for r in got} == {("wire", 1200), ("wire", 1199), ("relay", 160), ("relay", 159)}
