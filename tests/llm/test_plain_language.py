@@ -1,11 +1,12 @@
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from placeloom.llm import language as lg
 from placeloom.llm import text_queries
-from placeloom.llm.plain import plain, plain_forms, unstable_pattern
+from placeloom.llm.plain import lookalikes, plain, plain_forms, unstable_pattern
 
 CASES = {
     "Ｉｖｙ ｌａｎｅ": "Ivy lane",
@@ -36,12 +37,36 @@ def test_plain_keeps(text):
 def test_plain_forms_on_rows(spark):
     rows = [(1, "h​i"), (2, None), (3, ""), (4, "long " * 20_000 + "ｅｎｄ"), (1, "h​i"), (5, "ok")]
     df = spark.createDataFrame(rows, "id int, text string").withColumn("plain", F.lit("clash"))
-    got = sorted((r["id"], r["plain"]) for r in plain_forms(df, ["id"], "text").collect())
-    assert got == sorted([(1, "hi"), (2, None), (3, ""), (4, "long " * 20_000 + "end"), (1, "hi"), (5, "ok")], key=str) or len(got) == 6
+    got = sorted(((r["id"], r["plain"]) for r in plain_forms(df, ["id"], "text").collect()), key=str)
+    assert got == sorted([(1, "hi"), (2, None), (3, ""), (4, "long " * 20_000 + "end"), (1, "hi"), (5, "ok")], key=str)
     assert {r["id"] for r in plain_forms(df, ["id"], "text", only_changed=True).collect()} == {1, 4}
     assert plain_forms(df.limit(0), ["id"], "text").count() == 0
 
 
+def test_every_composable_character_is_composed():
+    wrong = []
+    for ch in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x40000))):
+        apart = unicodedata.normalize("NFD", ch)
+        if apart != ch and unicodedata.category(ch)[0] not in "Z":
+            text = f"blue {apart} dog"
+            if plain(text) != unicodedata.normalize("NFC", text):
+                wrong.append(ch)
+    # These have a compatibility form, or look like a Latin letter and stand alone.
+    assert wrong == ["ϓ", "ϔ", "ẛ", "ι"]
+
+
+def test_placeholders_in_the_text_are_text():
+    assert plain("\x01 https://x.example/a @b é \x00 Ａ") == "\x01 https://x.example/a @b é \x00 A"
+    assert plain("ｶﾞ and \u1112\u1161\u11ab") == "ガ and 한"
+
+
+def test_public_lookalikes(spark):
+    table = lookalikes(spark)
+    assert table["г"] == "r" and table["Ꮇ"] == "M" and len(table) > 200
+    df = spark.createDataFrame([(1, "the гiver roѕe"), (2, "горе и доле"), (3, "the гора")], "id int, text string")
+    assert {r["id"]: r["plain"] for r in plain_forms(df, ["id"], "text").collect()} == {1: "the river rose", 2: "горе и доле", 3: "the гора"}
+
+
 def test_quick_check_finds_all_changes(spark):
     texts = list(CASES) + SAME
     df = spark.createDataFrame([(t,) for t in texts], "t string")
