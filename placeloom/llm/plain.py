@@ -110,15 +110,16 @@ def unstable_ranges(more: frozenset[str] = frozenset()) -> list[tuple[int, int]]
 def unstable_pattern(more: frozenset[str] = frozenset(), least: int = 10) -> str:
     """A Java regular expression that finds any character that may be unstable.
 
-    It is the complement of the longer stable ranges: the matcher then needs one table look-up for
-    a Latin letter and few comparisons for others. What lies between short stable ranges counts as
-    unstable here; plain() leaves it as it is."""
-    stable, at = [], 0
+    It is what is left of the longer stable ranges, tried from the lowest: the matcher then needs one comparison
+    for a basic letter, two for an accented one and few for others. What lies between short stable ranges counts
+    as unstable here; plain() leaves it as it is."""
+    stable, at = [], 0x80
     for a, b in [*unstable_ranges(more), (sys.maxunicode + 1, sys.maxunicode + 1)]:
         if a - at >= least:
             stable.append((at, a - 1))
         at = b + 1
-    return "[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in stable) + "]"
+    spans = [f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in stable]
+    return "[\\x{80}-\\x{10ffff}" + "".join(f"&&[^{x}]" for x in spans[:2]) + "&&[^" + "".join(spans[2:]) + "]]"
 
 
 def lookalikes(spark: SparkSession) -> dict[str, str]:
