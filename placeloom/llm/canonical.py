@@ -1,9 +1,10 @@
 """Freely typed values mapped to the entries of a reference list (problem 3).
 
 A value is brought to plain form and cut into places, the areas given after them and the words
-around them. Every stretch of words is a key; each distinct key is looked up once in BK-trees
-over the folded reference names, broadcast while their counted number allows it, else one tree
-set for each shard of names, whose winners are merged. From the hits a value's places are chosen.
+around them. Every stretch of words that isn't longer than the longest listed name may be typed is a key;
+each distinct key is looked up once in BK-trees over the folded reference names, broadcast while their
+counted number allows it, else one tree set for each shard of names, met by blocks of the keys of near
+lengths, whose winners are merged. Codes are found by equality. From the hits a value's places are chosen.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeloom.llm.bktree import BKForest
-from placeloom.llm.plain import TO_LATIN, plain
-from placeloom.session import is_small
+from placeloom.llm.plain import TO_LATIN, lookalikes, plain, use
+from placeloom.session import broadcast_if_small, cut, is_small
 
 MISTAKES = 2  #: single-character mistakes allowed in a name
-LONGEST_SPAN = 6  #: words a name may have
 NAMES_PER_SHARD = 200_000  #: names that one set of trees may hold
+KEYS_PER_BLOCK = 100_000  #: keys of a length that one task looks up in a shard
 
 # Words that stand before or after a place without belonging to its name.
 AROUND = frozenset(
@@ -46,19 +47,29 @@ def fold(text: str) -> str:
     return "".join(c for c in low if c.isalnum())
 
 
-def _keys(part: str) -> list[tuple[str, int, int]]:
-    """(key, foreign words left out, words left out) of every stretch of words of a part, whole first."""
+def _keys(part: str, longest: int) -> list[tuple[str, int, int]]:
+    """(key, foreign words left out, words left out) of every stretch of words of a part with at most `longest`
+    letters, and of the whole part."""
     words = TOKEN.findall(part)
-    known = [w.lower() in AROUND for w in words]
+    folded = [fold(w) for w in words]
+    foreign = [0]
+    for w in words:
+        foreign.append(foreign[-1] + (w.lower() not in AROUND))
     out = {}
+
+    def add(i: int, j: int, key: str) -> None:
+        rank = (foreign[-1] - (foreign[j] - foreign[i]), len(words) - (j - i))
+        if key and (key not in out or rank < out[key]):
+            out[key] = rank
+
+    add(0, len(words), "".join(folded))
     for i in range(len(words)):
-        for j in range(len(words), i, -1):
-            if j - i <= LONGEST_SPAN or (i, j) == (0, len(words)):
-                rest = known[:i] + known[j:]
-                key = fold("".join(words[i:j]))
-                rank = (len(rest) - sum(rest), len(rest))
-                if key and (key not in out or rank < out[key]):
-                    out[key] = rank
+        key = ""
+        for j in range(i + 1, len(words) + 1):
+            key += folded[j - 1]
+            if len(key) > longest:
+                break
+            add(i, j, key)
     alike = "".join(TO_LATIN.get(c, c) for c in part)
     if alike != part and (key := fold(alike)) not in out:
         out[key] = (0, 0)
@@ -66,40 +77,41 @@ def _keys(part: str) -> list[tuple[str, int, int]]:
 
 
 @lru_cache(1 << 14)
-def readings(value: str) -> tuple[list, list[tuple[list, list[list]]], list[list]]:
+def readings(value: str, longest: int) -> tuple[list, list[tuple[list, list[list]]], list[list]]:
     """(keys of the whole value, [(keys of a place, keys of each area after it)], keys of hyphenated parts)."""
     text = re.sub(r"https?://\S+|[@#]", " ", plain(value) or "")
     places = []
     for chunk in BETWEEN_PLACES.split(text):
         bits = [b for b in BEFORE_AREA.split(chunk or "") if b and TOKEN.search(b)]
         if bits:
-            places.append((_keys(bits[0]), [_keys(b) for b in bits[1:]]))
-    hyphened = [_keys(b) for b in text.split("-") if TOKEN.search(b)] if text.count("-") == 1 else []
-    return _keys(text), places, hyphened
+            places.append((_keys(bits[0], longest), [_keys(b, longest) for b in bits[1:]]))
+    hyphened = [_keys(b, longest) for b in text.split("-") if TOKEN.search(b)] if text.count("-") == 1 else []
+    return _keys(text, longest), places, hyphened
 
 
-def all_keys(value: str) -> set[str]:
-    whole, places, hyphened = readings(value)
+def all_keys(value: str, longest: int) -> set[str]:
+    whole, places, hyphened = readings(value, longest)
     return {k[0] for part in (whole, *hyphened, *(p for p, _ in places), *(a for _, areas in places for a in areas)) for k in part}
 
 
 class Hits:
-    """Hits of a value's keys: key -> (mistakes, [(id, is area, population, areas it lies in, code only)])."""
+    """Hits of a value's keys: key -> [(mistakes, (id, is area, population, areas it lies in, kind))]."""
 
     def __init__(self, told: str | None):
-        self.by_key: dict[str, tuple[int, list]] = {}
+        self.by_key: dict[str, list] = {}
         for line in (told or "").split("\n"):
             if line:
                 key, far, gid, area, pop, inside, code = line.split("|")
-                mistakes, found = self.by_key.setdefault(key, (int(far), []))
-                found.append((int(gid), area == "1", int(pop), {int(x) for x in inside.split(",") if x}, int(code)))
+                self.by_key.setdefault(key, []).append((int(far), (int(gid), area == "1", int(pop), {int(x) for x in inside.split(",") if x}, int(code))))
 
     def best(self, part: list, places_only: bool = True) -> tuple[tuple, list] | None:
-        """(rank, entries) of the best stretch of a part. Rank: foreign words left out, mistakes, words left out."""
+        """(rank, entries) of the best stretch of a part. Rank: foreign words left out, mistakes, words left out.
+        Of a key the entries with the fewest mistakes count, among those that may be meant at all."""
         found = None
         for key, foreign, left in part:
-            mistakes, entries = self.by_key.get(key, (0, []))
-            entries = [e for e in entries if (e[4] < 2 or not places_only) and (mistakes == 0 or e[4] == 0)]
+            able = [(far, e) for far, e in self.by_key.get(key, ()) if e[4] < 2 or not places_only]
+            mistakes = min((far for far, _ in able), default=0)
+            entries = [e for far, e in able if far == mistakes]
             if not entries or foreign and len(key) < (5 if mistakes == 0 else 8) or mistakes * 3 > len(key) + 1:
                 continue
             rank = (foreign, mistakes, left, -len(key))
@@ -116,10 +128,10 @@ def choose(entries: list, areas: list[set[int]]) -> int | None:
     return max(entries, key=lambda e: (e[2], -e[0]))[0] if entries else None
 
 
-def resolve(value: str, told: str | None) -> list[int]:
+def resolve(value: str, told: str | None, longest: int) -> list[int]:
     """The ids a value means, none where it means no listed entry."""
     hits = Hits(told)
-    whole, places, hyphened = readings(value)
+    whole, places, hyphened = readings(value, longest)
     entire = hits.best([k for k in whole if k[1] == 0])
     if entire and entire[0][1] == 0:
         return [choose(entire[1], [])]
@@ -143,19 +155,21 @@ def resolve(value: str, told: str | None) -> list[int]:
     return [choose(entire[1], [])] if entire else []
 
 
-def nearest_names(keys: DataFrame, names: DataFrame, mistakes: int = MISTAKES, names_per_shard: int = NAMES_PER_SHARD) -> DataFrame:
+def nearest_names(keys: DataFrame, names: DataFrame, mistakes: int = MISTAKES, names_per_shard: int = NAMES_PER_SHARD, keys_per_block: int = KEYS_PER_BLOCK) -> DataFrame:
     """(key, name, mistakes): of each distinct key the names nearest to it, if within `mistakes`.
 
-    Up to names_per_shard names are broadcast as one set of trees. More are cut into shards by
-    hash; every shard is searched for all keys and the winners are merged by least distance.
+    Up to names_per_shard names are broadcast as one set of trees, and the keys spread over all tasks. More are
+    cut into shards by length and hash. Each key goes to the shards of the lengths it can match, cut into
+    blocks there, so that no task holds more than a shard of names and a block of keys; the winners of the
+    shards are merged by least distance.
     """
 
     def search(trees: BKForest, ks: list[str]) -> pd.DataFrame:
         return pd.DataFrame([(ks[i], n, d) for i, n, d in trees.nearest(ks, mistakes)], columns=["key", "name", "mistakes"])
 
+    spark = keys.sparkSession
     names = names.select("name").distinct()
     if is_small(names, names_per_shard):
-        spark = keys.sparkSession
         listed = spark.sparkContext.broadcast(sorted(r["name"] for r in names.collect()))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,36 +177,56 @@ def nearest_names(keys: DataFrame, names: DataFrame, mistakes: int = MISTAKES, n
             for pdf in batches:
                 yield search(trees, pdf["key"].tolist())
 
-        return keys.mapInPandas(run, "key string, name string, mistakes int")
-    shards = -(-names.count() // names_per_shard)
-    left = keys.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    right = names.withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int"))
+        return keys.repartition(spark.sparkContext.defaultParallelism, "key").mapInPandas(run, "key string, name string, mistakes int")
+    keys = cut(keys.distinct())
+    shards, blocks = -(-names.count() // names_per_shard), -(-keys.count() // keys_per_block)
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(max(1, n))).cast("int")
+    left = keys.withColumn("block", part("key", blocks)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    left = left.withColumn("length", F.explode(F.sequence(F.length("key") - mistakes, F.length("key") + mistakes)))
+    right = names.withColumn("shard", part("name", shards)).withColumn("length", F.length("name")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1)))))
 
     def both(ks: pd.DataFrame, ns: pd.DataFrame) -> pd.DataFrame:
-        return search(BKForest(ns["name"].tolist()), ks["key"].tolist())
+        return search(BKForest(ns["name"].tolist()), ks["key"].tolist()) if len(ks) and len(ns) else search(BKForest([]), [])
 
-    met = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInPandas(both, "key string, name string, mistakes int")
+    by = ["length", "shard", "block"]
+    met = cut(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(both, "key string, name string, mistakes int"))
     least = met.groupBy("key").agg(F.min("mistakes").alias("mistakes"))
     return met.join(least, ["key", "mistakes"]).select("key", "name", "mistakes")
 
 
-def map_values(values: DataFrame, value: str, entries: DataFrame) -> DataFrame:
+def map_values(values: DataFrame, value: str, entries: DataFrame, names_per_shard: int = NAMES_PER_SHARD) -> DataFrame:
     """(value, id): one row for each entry a distinct value means, id null where it means none.
 
     entries: (label string, id int, is_area boolean, population long, inside array<int>, kind int);
     kind 0 is a name, 1 a code that is found without mistakes only, 2 a code of an area that only
     tells places apart. Null and blank values give no row.
     """
-    folded = F.pandas_udf(lambda s: s.map(lambda x: fold(x) if x else None), "string")
-    split = F.pandas_udf(lambda s: s.map(lambda x: sorted(all_keys(x))), "array<string>")
-    listed = entries.where("label is not null").withColumn("name", folded(F.col("label"))).where("name <> ''")
+    spark = values.sparkSession
+    table = spark.sparkContext.broadcast(lookalikes(spark))
+
+    def folding(s: pd.Series) -> pd.Series:
+        use(table.value)
+        return s.map(lambda x: fold(x) if x else None)
+
+    listed = entries.where("label is not null").withColumn("name", F.pandas_udf(folding, "string")("label")).where("name <> ''")
     told = F.concat_ws("|", F.lit(""), F.col("id"), F.col("is_area").cast("int"), F.coalesce(F.col("population"), F.lit(0)), F.array_join(F.col("inside").cast("array<string>"), ","), F.col("kind"))
-    listed = listed.groupBy("name").agg(F.collect_set(told).alias("told"))
+    listed = cut(listed.groupBy("name", (F.col("kind") > 0).alias("code")).agg(F.collect_set(told).alias("told")))
+    longest = (listed.agg(F.max(F.length("name"))).first()[0] or 0) + MISTAKES
+
+    def keying(s: pd.Series) -> pd.Series:
+        use(table.value)
+        return s.map(lambda x: sorted(all_keys(x, longest)))
+
+    def meaning(v: pd.Series, t: pd.Series) -> pd.Series:
+        use(table.value)
+        return pd.Series([resolve(a, b, longest) for a, b in zip(v, t)], dtype=object)
+
     asked = values.select(F.col(value).alias("value")).where(F.col("value").isNotNull() & F.col("value").rlike(r"(?U)\S")).distinct()
-    cut_up = asked.withColumn("key", F.explode_outer(split("value")))
-    hits = nearest_names(cut_up.where("key is not null").select("key").distinct(), listed)
-    listed = F.broadcast(listed) if is_small(listed, NAMES_PER_SHARD) else listed
-    hits = hits.join(listed, "name").withColumn("one", F.explode("told")).groupBy("key").agg(F.concat_ws("\n", F.collect_list(F.concat(F.col("key"), F.lit("|"), F.col("mistakes"), F.col("one")))).alias("told"))
+    cut_up = cut(asked.repartition(spark.sparkContext.defaultParallelism, "value").withColumn("key", F.explode_outer(F.pandas_udf(keying, "array<string>")("value"))))
+    keys = cut_up.where("key is not null").select("key").distinct()
+    near = nearest_names(keys, listed.where("not code"), names_per_shard=names_per_shard).withColumn("code", F.lit(False))
+    codes = keys.join(broadcast_if_small(listed.where("code").select(F.col("name").alias("key"))), "key", "left_semi").select("key", F.col("key").alias("name"), F.lit(0).alias("mistakes"), F.lit(True).alias("code"))
+    hits = near.unionByName(codes).join(broadcast_if_small(listed), ["name", "code"]).withColumn("one", F.explode("told"))
+    hits = hits.groupBy("key").agg(F.concat_ws("\n", F.collect_list(F.concat(F.col("key"), F.lit("|"), F.col("mistakes"), F.col("one")))).alias("told"))
     gathered = cut_up.join(hits, "key", "left").groupBy("value").agg(F.concat_ws("\n", F.collect_list("told")).alias("told"))
-    meant = F.pandas_udf(lambda v, t: pd.Series([resolve(a, b) for a, b in zip(v, t)], dtype=object), "array<int>")
-    return gathered.select("value", F.explode_outer(meant("value", "told")).alias("id"))
+    return gathered.select("value", F.explode_outer(F.pandas_udf(meaning, "array<int>")("value", "told")).alias("id"))

@@ -127,3 +127,21 @@ def test_sharded_names_give_the_same(spark):
     df = spark.createDataFrame([(n,) for n in names], "name string")
     whole = sorted(map(tuple, canonical.nearest_names(keys, df).collect()))
     assert whole and whole == sorted(map(tuple, canonical.nearest_names(keys, df, names_per_shard=11).collect()))
+
+
+def test_names_of_any_length(spark):
+    long_name = "Llanfair" + "pwll" * 16
+    many_words = "Saint Mary By The Old Mill Near The Bend Of River"
+    entries = spark.createDataFrame([(long_name, 1, False, 5, [1], 0), (many_words, 2, False, 5, [2], 0), ("Oakport", 3, False, 9, [3], 0), ("OKP", 4, False, 1, [4], 1)], "label string, id int, is_area boolean, population long, inside array<int>, kind int")
+    told = {long_name: 1, long_name[:40] + "x" + long_name[40:]: 1, "x " + long_name[:-2]: 1, f"living in {many_words} today": 2, many_words.replace("Mill", "Mil"): 2, "okp": 4, "oakprt": 3, "okq": None, "word " * 5_000 + "Oakport": 3}
+    values = spark.createDataFrame([(v,) for v in told], "v string")
+    assert {r["value"]: r["id"] for r in canonical.map_values(values, "v", entries).collect()} == told
+    assert {r["value"]: r["id"] for r in canonical.map_values(values, "v", entries, names_per_shard=1).collect()} == told
+
+
+def test_long_patterns_have_the_true_distance():
+    rng = random.Random(3)
+    keys = ["".join(rng.choice("ab") for _ in range(rng.randint(60, 90))) for _ in range(60)]
+    keys += [k[:30] + k[31:] for k in keys[:20]]
+    want = sorted((i, k, d) for i, q in enumerate(keys) for k in set(keys) if (d := edits(q, k)) <= 2)
+    assert sorted(bktree.BKForest(keys).search(keys, 2)) == want
