@@ -84,16 +84,26 @@ def tokenize(text: Column, remove_punctuation: bool = False, stop_words: Column
     return F.filter(tokens, lambda t: ~F.array_contains(stop_words, t)) if stop_words is not None else tokens
 
 
-def ngrams(tokens: Column, least: int = 1, most: int = 3) -> Column:
-    """Distinct runs of least to most tokens without any ASCII punctuation."""
-
-    def of_length(k: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(tokens) - k + 1), lambda i: F.array_join(F.slice(tokens, i, F.lit(k)), " "))
-
-    runs = [of_length(k) for k in range(least, most + 1)]
-    none = F.array().cast("array<string>")
-    runs = [F.when(F.size(tokens) >= k, r).otherwise(none) for k, r in zip(range(least, most + 1), runs)]
-    return F.filter(F.array_distinct(F.concat(*runs)), lambda g: ~g.rlike(PUNCTUATION))
+def ngrams(tokens: Column, least: int = 1, most: int = 3, without: str | None = None) -> Column:
+    """Distinct runs of least to most tokens without any ASCII punctuation, nor what the pattern `without` finds.
+
+    Tokens are judged once; a run that holds a banned one is null by its concatenation."""
+    banned = f"{PUNCTUATION}|{without}" if without else PUNCTUATION
+
+    def longer(runs: Column, able: Column, k: int) -> Column:
+        n = F.size(able) - k + 1
+        return F.when(n > 0, F.zip_with(F.slice(runs, F.lit(1), n), F.slice(able, F.lit(k), n), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+
+    def all_runs(able: Column) -> Column:
+        runs, kept = able, []
+        for k in range(1, most + 1):
+            runs = able if k == 1 else longer(runs, able, k)
+            kept += [runs] if k >= least else []
+        return F.array_distinct(F.array_compact(F.concat(*kept)))
+
+    # The lambda's variable stands for the judged tokens, so that they are worked out once.
+    able = F.transform(tokens, lambda t: F.when(~t.rlike(banned), t))
+    return F.transform(F.array(able), all_runs)[0]
 
 
 def without_digits(grams: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from placeloom.config import DEFAULT, Settings
 from placeloom.functions import text as tx
 from placeloom.functions.predicates import is_family, side
 from placeloom.operators.gazetteer import size_order
-from placeloom.session import broadcast_if_small
+from placeloom.session import broadcast_if_small, is_small
 
 
 def base_posts(posts: DataFrame) -> DataFrame:
@@ -25,24 +27,57 @@ def tags_by_language(tags: DataFrame) -> DataFrame:
     return tags.groupBy("lang").agg(F.sort_array(F.collect_set("tag"), asc=False).alias("tags"))
 
 
-def grams_of(posts: DataFrame, tags: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """(post_id, lang, gram, cut, first_words, tags): n-grams of posts in languages that have tags, tags cut out."""
+def one_of(words: list[str]) -> str:
+    """A pattern that finds any of the words, branching letter by letter, so that a place where none begins is
+    left after one comparison."""
+    if "" in words:
+        return ""
+    first = sorted({w[0] for w in words})
+    branches = [re.escape(c) + one_of([w[1:] for w in words if w[0] == c]) for c in first]
+    return branches[0] if len(branches) == 1 else f"(?=[{''.join(map(re.escape, first))}])(?:{'|'.join(branches)})"
+
+
+def any_tag(tags: DataFrame, most: int = 10_000) -> str | None:
+    """A pattern that finds any keyword of any language; None where there are more than `most`."""
+    if not is_small(tags, most):
+        return None
+    return one_of([r["tag"] for r in tags.select("tag").where("tag <> ''").distinct().collect()] or ["\U0010ffff"])
+
+
+def grams_of(posts: DataFrame, tags: DataFrame, settings: Settings = DEFAULT, names: DataFrame | None = None) -> DataFrame:
+    """(post_id, lang, gram, cut, first_words, tags): n-grams of posts in languages that have tags, tags cut out.
+
+    With `names`, a table of (name) in lower case, only n-grams that are one of them, or hold a tag, are kept:
+    the others never leave the generated code of the scan."""
     # Step by step, so that no step's result is worked out again for each use in the next.
-    rows = posts.join(F.broadcast(tags_by_language(tags)), "lang").select("post_id", "lang", "tags", tx.clean_text(F.col("text"), lower=False).alias("_clean"))
+    rows = posts.join(broadcast_if_small(tags_by_language(tags)), "lang").select("post_id", "lang", "tags", tx.clean_text(F.col("text"), lower=False).alias("_clean"))
     rows = rows.select("post_id", "lang", "tags", tx.sentence_first_words(F.col("_clean")).alias("first_words"), F.explode(F.array(tx.tokenize(F.col("_clean"), remove_punctuation=True))).alias("_tokens"))
-    rows = rows.withColumn("_gram", F.explode(tx.without_digits(tx.ngrams(F.col("_tokens"), 1, settings.max_ngram))))
-    cut = F.explode(tx.strip_tags(F.array("_gram"), F.col("tags")))
+    # The n-grams are a column before they are rows, so that what follows them is generated code.
+    rows = rows.select("post_id", "lang", "tags", "first_words", tx.ngrams(F.col("_tokens"), 1, settings.max_ngram, without=r"\p{N}").alias("_grams"))
+    rows = rows.select("post_id", "lang", "tags", "first_words", F.explode("_grams").alias("_gram")).withColumn("_low", F.lower("_gram"))
+    pattern = any_tag(tags)
+    rows = rows.withColumn("_hit", F.col("_low").rlike(pattern) if pattern else F.lit(True))
+    if names is not None:
+        known = names.select(F.col("name").alias("_low")).distinct().withColumn("_known", F.lit(True))
+        rows = rows.join(broadcast_if_small(known), "_low", "left").where(F.col("_hit") | F.col("_known").isNotNull())
+    whole = F.array(F.struct(F.col("_gram").alias("gram"), F.lit(False).alias("cut")))
+    cut = F.explode(F.when(F.col("_hit"), tx.strip_tags(F.array("_gram"), F.col("tags"))).otherwise(whole))
     return rows.select("post_id", "lang", "tags", "first_words", cut.alias("_g")).select("post_id", "lang", "tags", "first_words", "_g.gram", "_g.cut")
 
 
-def found_names(grams: DataFrame, gazetteer: DataFrame, countries: DataFrame, common: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """(post_id, lang, toponym, original, cut, first_word): names of the gazetteer in each post, without those
-    that are part of another. A name is kept when it is a country's, or long enough and no common word."""
+def kept_names(grams: DataFrame, gazetteer: DataFrame, countries: DataFrame, common: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """The grams with their toponym that are names of the gazetteer: a country's, or long enough and no common word."""
     rows = grams.withColumn("toponym", F.lower("gram"))
     rows = rows.join(broadcast_if_small(gazetteer.select(F.col("name").alias("toponym")).distinct()), "toponym", "left_semi")
-    rows = rows.join(F.broadcast(countries.select(F.col("name").alias("toponym"), F.lit(True).alias("_country"))), "toponym", "left")
+    rows = rows.join(broadcast_if_small(countries.select(F.col("name").alias("toponym"), F.lit(True).alias("_country")).distinct()), "toponym", "left")
     rows = rows.join(broadcast_if_small(common.select("lang", F.col("word").alias("toponym"), F.lit(True).alias("_common"))), ["lang", "toponym"], "left")
-    rows = rows.where(F.col("_country").isNotNull() | ((F.length("toponym") >= settings.min_gram_length) & F.col("_common").isNull()))
+    return rows.where(F.col("_country").isNotNull() | ((F.length("toponym") >= settings.min_gram_length) & F.col("_common").isNull()))
+
+
+def found_names(grams: DataFrame, gazetteer: DataFrame, countries: DataFrame, common: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """(post_id, lang, toponym, original, cut, first_word): names of the gazetteer in each post, without those
+    that are part of another. A name is kept when it is a country's, or long enough and no common word."""
+    rows = kept_names(grams, gazetteer, countries, common, settings)
     seen = F.struct("toponym", (~tx.is_title(F.col("gram"))).alias("plain"), F.col("gram").alias("original"), (F.col("cut") & (F.col("gram") == F.col("toponym"))).alias("cut"))
     posts = rows.groupBy("post_id", "lang").agg(F.collect_set(seen).alias("_seen"), F.first("first_words").alias("first_words"), F.first("tags").alias("tags"))
 

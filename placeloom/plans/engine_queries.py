@@ -62,7 +62,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     tokens = tx.tokenize(tx.clean_text(F.col("text"), lower=False), remove_punctuation=True)
     rows = t.posts.select("post_id", F.explode(F.array(tokens)).alias("t"))
-    return rows.select("post_id", tx.without_digits(tx.ngrams(F.col("t"), 1, DEFAULT.max_ngram)).alias("g")).select("post_id", joined("g").alias("grams"))
+    return rows.select("post_id", tx.ngrams(F.col("t"), 1, DEFAULT.max_ngram, without=r"\p{N}").alias("g")).select("post_id", joined("g").alias("grams"))
 
 
 @query("op_x10_strip_tags", "SELECT post_id, gram, cut FROM gram WHERE cut", "gram")
@@ -91,7 +91,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     tokens = tx.tokenize(tx.clean_text(F.col("text"), lower=False), remove_punctuation=True)
     rows = t.posts.where("lang = 'nl' and not retweet").select(F.explode(F.array(tokens)).alias("t"))
-    grams = rows.select(F.explode(tx.without_digits(tx.ngrams(F.col("t"), 1, DEFAULT.max_ngram))).alias("gram"))
+    grams = rows.select(F.explode(tx.ngrams(F.col("t"), 1, DEFAULT.max_ngram, without=r"\p{N}")).alias("gram"))
     return grams.groupBy("gram").agg(F.count("*").alias("posts")).where("posts > 1")
 
 
@@ -100,7 +100,7 @@ def _(t: Tables) -> DataFrame:
     """The n-grams of every language, those of one post too."""
     tokens = tx.tokenize(tx.clean_text(F.col("text"), lower=False), remove_punctuation=True)
     rows = t.posts.where("not coalesce(retweet, false)").select("lang", F.explode(F.array(tokens)).alias("t"))
-    grams = rows.select("lang", F.explode(tx.without_digits(tx.ngrams(F.col("t"), 1, DEFAULT.max_ngram))).alias("gram"))
+    grams = rows.select("lang", F.explode(tx.ngrams(F.col("t"), 1, DEFAULT.max_ngram, without=r"\p{N}")).alias("gram"))
     return grams.groupBy("lang", "gram").agg(F.count("*").alias("posts"))
 
 
@@ -224,9 +224,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("op_f10_f11_kept_grams", "SELECT post_id, lang, toponym, count(*) AS forms FROM (SELECT DISTINCT post_id, lang, toponym, gram FROM met) GROUP BY 1, 2, 3", "met")
 def _(t: Tables) -> DataFrame:
-    rows = t.grams().withColumn("toponym", F.lower("gram")).join(F.broadcast(t.gazetteer().select(F.col("name").alias("toponym")).distinct()), "toponym", "left_semi")
-    rows = rows.join(F.broadcast(gz.country_names(t.admin()).select(F.col("name").alias("toponym"), F.lit(1).alias("c"))), "toponym", "left").join(F.broadcast(t.common().select("lang", F.col("word").alias("toponym"), F.lit(1).alias("w"))), ["lang", "toponym"], "left")
-    kept = rows.where(F.col("c").isNotNull() | ((F.length("toponym") >= DEFAULT.min_gram_length) & F.col("w").isNull()))
+    kept = ca.kept_names(ca.grams_of(t.posts, t.tags, t.settings, t.gazetteer()), t.gazetteer(), gz.country_names(t.admin()), t.common())
     return kept.groupBy("post_id", "lang", "toponym").agg(F.count_distinct("gram").alias("forms"))
 
 
