@@ -9,6 +9,8 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placeloom.session import broadcast_if_small
+
 
 def offset_intervals(zones: Iterable[str], start: datetime, end: datetime) -> list[tuple[str, int, datetime, datetime]]:
     """(zone, offset in seconds, valid from, valid to) over [start, end); to the second, in UTC."""
@@ -42,5 +44,5 @@ def zones_of_posts(posts: DataFrame, intervals: DataFrame, key: str, offset: str
     """(key, zones): the zones whose offset at the post's time is the author's. An equi-join on the
     offset; posts without an offset or time give no row."""
     seen = posts.where(F.col(offset).isNotNull() & F.col(time).isNotNull()).select(F.col(offset).alias("offset_s"), F.col(key).alias(key), F.col(time).alias("_time"))
-    met = seen.join(F.broadcast(intervals), "offset_s").where((F.col("_time") >= F.col("valid_from")) & (F.col("_time") < F.col("valid_to")))
+    met = seen.join(broadcast_if_small(intervals), "offset_s").where((F.col("_time") >= F.col("valid_from")) & (F.col("_time") < F.col("valid_to")))
     return met.groupBy(key).agg(F.array_sort(F.collect_set("zone")).alias("zones"))

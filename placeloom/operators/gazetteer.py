@@ -7,10 +7,23 @@ from pyspark.sql import functions as F
 
 from placeloom.config import ADM_CODES, DEFAULT, KEPT_CODES, TOWN_CODES, Settings
 from placeloom.operators.spatial import points_in_regions
+from placeloom.session import broadcast_if_small
 
 # Continents by code, as geonameids.
 CONTINENT_IDS = {"AF": 6255146, "AS": 6255147, "EU": 6255148, "NA": 6255149, "OC": 6255151, "SA": 6255150, "AN": 6255152}
 
+# Countries on two continents, by geonameid, with the continents' geonameids.
+TWO_CONTINENTS = {
+    2017370: (6255148, 6255147),
+    1643084: (6255147, 6255151),
+    1522867: (6255147, 6255148),
+    587116: (6255147, 6255148),
+    614540: (6255147, 6255148),
+    298795: (6255147, 6255148),
+    357994: (6255147, 6255146),
+    3703430: (6255149, 6255150),
+}
+
 
 def keep_features(places: DataFrame, adm1: DataFrame) -> DataFrame:
     """Places with a feature code in use or whose id is a region's."""
@@ -93,12 +106,12 @@ def fill_time_zones(places: DataFrame, zones: DataFrame) -> DataFrame:
 
 def add_countries(places: DataFrame, countries: DataFrame, iso2: str = "country") -> DataFrame:
     """places with country_geonameid from the two-letter code; an unknown code gives null."""
-    return places.join(F.broadcast(countries.select(F.col("iso2").alias(iso2), F.col("geonameid").alias("country_geonameid"))), iso2, "left")
+    return places.join(broadcast_if_small(countries.select(F.col("iso2").alias(iso2), F.col("geonameid").alias("country_geonameid"))), iso2, "left")
 
 
 def zones_per_country(zones: DataFrame, countries: DataFrame) -> DataFrame:
     """(geonameid, zones): the time zones of each country, from (iso2, name) rows."""
-    return zones.join(F.broadcast(countries.select("iso2", "geonameid")), "iso2").groupBy("geonameid").agg(F.array_sort(F.collect_set("name")).alias("zones"))
+    return zones.join(broadcast_if_small(countries.select("iso2", "geonameid")), "iso2").groupBy("geonameid").agg(F.array_sort(F.collect_set("name")).alias("zones"))
 
 
 def continents_of(code: Column, overrides: dict[str, list[str]] | None = None, iso2: Column | None = None) -> Column:
@@ -110,6 +123,23 @@ def continents_of(code: Column, overrides: dict[str, list[str]] | None = None, i
     return own
 
 
+def country_table(info: DataFrame, outlines: DataFrame) -> DataFrame:
+    """(geonameid, iso2, iso3, continents, languages, name, rings) from read_country_info and outlines (iso2, rings).
+    Countries on two continents have both; outlines of a code in several rows are parts of it, a country without
+    any has null rings."""
+    two = F.create_map(*(x for k, ids in TWO_CONTINENTS.items() for x in (F.lit(k), F.array(*map(F.lit, ids)))))
+    continents = F.coalesce(F.try_element_at(two, F.col("geonameid")), continents_of(F.col("continent")))
+    shapes = outlines.where("iso2 is not null").groupBy("iso2").agg(F.flatten(F.collect_list("rings")).alias("rings"))
+    return info.join(broadcast_if_small(shapes), "iso2", "left").select("geonameid", "iso2", "iso3", continents.alias("continents"), "languages", "name", "rings")
+
+
+def region_parts(parts: DataFrame, key: str = "geonameid") -> DataFrame:
+    """(key, rings), one row for each part of a region, under its absolute id; an id of 0 is left out. A point is in
+    a region when any part holds it, so that parts may overlap: points_in_regions over these rows, made distinct,
+    is the union of the parts."""
+    return parts.select(F.abs(F.col(key)).alias(key), "rings").where(F.col(key) >= 1)
+
+
 def merge_regions(parts: DataFrame, key: str = "geonameid") -> DataFrame:
     """One row for each absolute id with the rings of all its parts; ids below 1 before that are parts too,
     an id of 0 is left out. For parts that don't overlap, even-odd gives their union."""

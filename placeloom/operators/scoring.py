@@ -34,7 +34,7 @@ def score_candidates(found: DataFrame, posts: DataFrame, areas: DataFrame, zones
     here = posts.select("post_id", "user_id", "posted_at", "home", F.col("lon").isNotNull().alias("_exact")).join(points, "post_id", "left").join(areas_of_points(points, areas), "post_id", "left").join(zones, "post_id", "left")
     rows = found.join(here, "post_id").join(broadcast_if_small(homes), "home", "left")
     rows = rows.join(broadcast_if_small(area_zones.select("geonameid", F.col("zones").alias("_area_zones"))), "geonameid", "left")
-    rows = rows.join(F.broadcast(continents.select(F.col("geonameid").alias("country_geonameid"), F.col("continents").alias("continents"))), "country_geonameid", "left")
+    rows = rows.join(broadcast_if_small(continents.select(F.col("geonameid").alias("country_geonameid"), F.col("continents").alias("continents"))), "country_geonameid", "left")
     none = F.array().cast("array<int>")
     at = matches_point(side(""), F.col("lon"), F.col("lat"), F.coalesce(F.col("areas"), none), settings)
     family = is_family(side(""), side("home_"), F.col("toponym"), F.col("home_toponym"), settings=settings)

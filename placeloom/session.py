@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only after a count has shown that it has no more rows than this.
 MAX_BROADCAST_ROWS = 300_000
+#: Nor more bytes, with texts and nested values counted as JSON.
+MAX_BROADCAST_BYTES = 200_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,33 +23,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Whether df has at most max_rows rows. Reads no more than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Whether df has at most max_rows rows, and those at most max_bytes. Reads no more rows than that."""
+    longest = [c for c, kind in df.dtypes if kind in ("string", "binary") or kind.startswith(("array", "map", "struct"))]
+    text = [F.length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in longest))))] if longest else []
+    size = F.sum(sum(text, F.lit(8 * len(df.columns))).cast("long"))
+    rows, total = df.limit(max_rows + 1).agg(F.count("*"), size).first()
+    return rows <= max_rows and (total or 0) <= max_bytes
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint when its counted size allows it; otherwise df, so that the join shuffles."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint when its counted rows and bytes allow it; otherwise df, so that the join shuffles.
+    df is worked out for the count: cut it first where that is dear."""
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the shared folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A new folder in the shared folder of spark.checkpoint.dir.
+
+    Where that is unset, a session on this machine alone gets a temporary folder, deleted when Python ends; on a
+    cluster it is an error, because executors couldn't see each other's files."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="placeloom-")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder all executors share; the master is {master}")
+        folder = tempfile.mkdtemp(prefix="placeloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, release: bool = False) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends at files that survive executors.
 
-    A collection on the driver then lets Spark delete the shuffle files nothing refers to any more."""
+    With `release` a collection on the driver lets Spark delete the shuffle files nothing refers to any more:
+    for steps whose shuffles are large beside their input."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    if release:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from placeloom.session import broadcast_if_small
+
 # What is null in a dump. 'NA' isn't: it is a country and a continent.
 NULLS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "N/A", "NULL", "NaN", "nan")
 
@@ -16,6 +20,18 @@ POST_SCHEMA = (
 )
 
 
+# Columns of the public gazetteer dumps, in their order.
+PLACE_COLUMNS = (
+    "geonameid full_name asciiname alternatenames latitude longitude feature_class feature_code country cc2 "
+    "admin1_code admin2_code admin3_code admin4_code population elevation dem time_zone modification_date"
+).split()
+ALTERNATE_COLUMNS = "alternatenameid geonameid isolanguage full_name is_preferred is_short is_colloquial is_historic since until".split()
+COUNTRY_COLUMNS = (
+    "iso2 iso3 iso_numeric fips name capital area population continent tld currency_code currency_name phone "
+    "postal_format postal_regex languages geonameid neighbours equivalent_fips"
+).split()
+
+
 def nulled(value: Column) -> Column:
     return F.when(value.isin(*NULLS), None).otherwise(value)
 
@@ -26,7 +42,7 @@ def _numbered(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path).select("value", F.input_file_name().alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("f", "b").orderBy("m")))
     sizes = rows.groupBy("f", "b").count().withColumn("before", F.coalesce(F.sum("count").over(Window.partitionBy("f").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return rows.join(F.broadcast(sizes.select("f", "b", "before")), ["f", "b"]).select("value", (F.col("before") + F.col("n") - 1).alias("line"))
+    return rows.join(broadcast_if_small(sizes.select("f", "b", "before")), ["f", "b"]).select("value", (F.col("before") + F.col("n") - 1).alias("line"))
 
 
 def read_tsv(spark: SparkSession, path: str, columns: list[str], types: dict[str, str] | None = None, keep: list[str] | None = None, skip_lines: int = 0, comment: str | None = None) -> DataFrame:
@@ -54,6 +70,33 @@ def read_tsv(spark: SparkSession, path: str, columns: list[str], types: dict[str
     return rows.select(*(cast(c).alias(c) for c in (keep or columns)))
 
 
+def read_places(spark: SparkSession, path: str) -> DataFrame:
+    """Places of a gazetteer dump: (geonameid, name in lower case, full_name, feature_class, feature_code, country,
+    admin1_code, population, longitude, latitude, time_zone). Decompressed by Spark where the file is gzipped or
+    bzipped; an unknown value is null."""
+    kinds = {"geonameid": "int", "population": "long", "longitude": "double", "latitude": "double"}
+    keep = ["geonameid", "full_name", "feature_class", "feature_code", "country", "admin1_code", "population", "longitude", "latitude", "time_zone"]
+    return read_tsv(spark, path, PLACE_COLUMNS, kinds, keep).withColumn("name", F.lower("full_name"))
+
+
+def read_alternates(spark: SparkSession, path: str) -> DataFrame:
+    """(alternatenameid, geonameid, isolanguage, full_name, alternate_name in lower case) of an alternate names dump."""
+    rows = read_tsv(spark, path, ALTERNATE_COLUMNS, {"alternatenameid": "int", "geonameid": "int"}, ALTERNATE_COLUMNS[:4])
+    return rows.withColumn("alternate_name", F.lower("full_name"))
+
+
+def read_country_info(spark: SparkSession, path: str) -> DataFrame:
+    """(geonameid, iso2, iso3, continent, languages, name in lower case) of a country dump; comment lines are left out."""
+    rows = read_tsv(spark, path, COUNTRY_COLUMNS, {"geonameid": "int"}, ["geonameid", "iso2", "iso3", "continent", "languages", "name"], comment="#")
+    return rows.withColumn("name", F.lower("name"))
+
+
+def read_languages(spark: SparkSession, path: str) -> DataFrame:
+    """(lang, capitalizing) of a comma-separated table with a head: language code, whether it writes names with capitals."""
+    rows = spark.read.option("header", True).schema("lang string, capitalizing string").csv(path)
+    return rows.where("lang is not null").select(F.trim("lang").alias("lang"), F.lower(F.trim("capitalizing")).isin("1", "1.0", "true", "yes", "y").alias("capitalizing"))
+
+
 def read_tags(spark: SparkSession, path: str) -> DataFrame:
     """(tag, lang) of lines 'tag, lang'; spaces in tags are left out."""
     lines = spark.read.text(path).where(F.col("value").contains(","))
@@ -80,14 +123,17 @@ def unpivot_zones(sheet: DataFrame) -> DataFrame:
     return sheet.unpivot([], sheet.columns, "geonameid", "zone").where("zone is not null").withColumn("geonameid", F.col("geonameid").cast("int"))
 
 
-def read_posts(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
-    """Posts of a Parquet or JSON folder with the fixed schema; nothing is inferred."""
-    return spark.read.schema(POST_SCHEMA).format(kind).load(path)
+def read_posts(spark: SparkSession, path: str, kind: str = "parquet", adapt: Callable[[DataFrame], DataFrame] | None = None, schema: str = POST_SCHEMA) -> DataFrame:
+    """Posts of a Parquet or JSON folder with the fixed schema; nothing is inferred. Posts of another form are read
+    with their own schema and brought to the engine's columns by `adapt`."""
+    rows = spark.read.schema(schema).format(kind).load(path)
+    return adapt(rows) if adapt else rows
 
 
-def stream_posts(spark: SparkSession, path: str, kind: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(POST_SCHEMA).format(kind)
-    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).load(path)
+def stream_posts(spark: SparkSession, path: str, kind: str = "parquet", files_per_batch: int | None = None, adapt: Callable[[DataFrame], DataFrame] | None = None, schema: str = POST_SCHEMA) -> DataFrame:
+    reader = spark.readStream.schema(schema).format(kind)
+    rows = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).load(path)
+    return adapt(rows) if adapt else rows
 
 
 def column_names(spark: SparkSession, name: str) -> list[str]:

@@ -37,18 +37,31 @@ def location_documents(best: DataFrame) -> DataFrame:
     return best.groupBy("post_id").agg(F.array_sort(F.collect_list(F.struct("toponym", *fields))).alias("locations"))
 
 
+def newest_version(spark: SparkSession, path: str) -> str | None:
+    """The newest version below `path` that was written as a whole; None where there is none. Goes by the versions
+    themselves, not by the pointer, so that it holds whenever a job is lost."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return None
+    names = sorted((f.getPath().getName() for f in fs.listStatus(root)), reverse=True)
+    return next((f"{path}/{n}" for n in names if n.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))), None)
+
+
 def upsert_locations(spark: SparkSession, path: str, new: DataFrame, version: int) -> str:
-    """Merges new locations into the newest version below `path` and writes the next one; returns its place.
-    A version is written as a whole before the pointer names it, so that a lost job leaves the old one."""
-    pointer = f"{path}/current"
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(pointer)
-    fs = at.getFileSystem(conf)
+    """Merges new locations into the newest older version below `path` and writes the next one; returns its place.
+    A version counts once it is whole, so that a lost job leaves the old one; one written again is the same.
+    `current` below `path` names the newest for readers."""
+    target = f"{path}/v{version:08d}"
     merged = new.select("post_id", "toponym", "geonameid", "avg_score")
-    if fs.exists(at):
-        last = spark.read.text(pointer).first()[0]
+    last = newest_version(spark, path)
+    if last == target:
+        fs = spark._jvm.org.apache.hadoop.fs.Path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(target), True)
+        last = newest_version(spark, path)
+    if last:
         merged = merge_locations(spark.read.parquet(last), merged)
-    target = f"{path}/v{version:08d}"
     merged.write.mode("overwrite").parquet(target)
-    spark.createDataFrame([(target,)], "value string").coalesce(1).write.mode("overwrite").text(pointer)
+    spark.createDataFrame([(target,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
     return target

@@ -54,3 +54,33 @@ def test_upsert_keeps_the_better(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(last).collect())) == [("p", "a", 1, 0.5), ("p", "b", 4, 0.6), ("q", "a", 5, 0.1)]
     docs = sinks.location_documents(spark.read.parquet(last)).where("post_id = 'p'").first()["locations"]
     assert [d["toponym"] for d in docs] == ["a", "b"]
+
+
+def test_gazetteer_dumps(spark, tmp_path):
+    (tmp_path / "p.txt").write_text("1\tÇam\tCam\t\t38.5\t27.1\tP\tPPL\tNA\t\t07\t\t\t\t1200\t\t5\tEurope/Istanbul\t2016-01-01\n", encoding="utf-8")
+    r = files.read_places(spark, str(tmp_path / "p.txt")).first()
+    assert (r["geonameid"], r["name"], r["country"], r["admin1_code"], r["population"], r["latitude"]) == (1, "çam", "NA", "07", 1200, 38.5)
+    (tmp_path / "a.txt").write_text("9\t1\ttr\tÇAM\t1\t\t\t\n10\t1\t\tCam\t\t\t\t\n", encoding="utf-8")
+    assert sorted(map(tuple, files.read_alternates(spark, str(tmp_path / "a.txt")).collect())) == [(9, 1, "tr", "ÇAM", "çam"), (10, 1, None, "Cam", "cam")]
+    (tmp_path / "c.txt").write_text("# x\nNA\tNAM\t516\tWA\tNamibia\tWindhoek\t1\t2\tAF\t.na\tNAD\tDollar\t264\t\t\ten,af\t3355338\tZA\t\n", encoding="utf-8")
+    assert [tuple(r) for r in files.read_country_info(spark, str(tmp_path / "c.txt")).collect()] == [(3355338, "NA", "NAM", "AF", "en,af", "namibia")]
+    (tmp_path / "l.csv").write_text("language_code,capital\nen,1\nxx,0\n")
+    assert sorted(map(tuple, files.read_languages(spark, str(tmp_path / "l.csv")).collect())) == [("en", True), ("xx", False)]
+
+
+def test_a_lost_job_leaves_the_last_whole_version(spark, tmp_path):
+    schema, path = "post_id string, toponym string, geonameid int, avg_score double", str(tmp_path / "store")
+    sinks.upsert_locations(spark, path, spark.createDataFrame([("p", "a", 1, 0.5)], schema), 1)
+    (tmp_path / "store" / "v00000002").mkdir()  # begun, never finished
+    import shutil
+
+    shutil.rmtree(tmp_path / "store" / "current")
+    for _ in range(2):  # and a version written again is the same
+        last = sinks.upsert_locations(spark, path, spark.createDataFrame([("p", "a", 2, 0.6), ("q", "a", 3, 0.1)], schema), 2)
+        assert {tuple(r)[:3] for r in spark.read.parquet(last).collect()} == {("p", "a", 2), ("q", "a", 3)}
+
+
+def test_posts_of_another_form(spark, tmp_path):
+    (tmp_path / "x.json").write_text('{"id": "7", "body": "water"}\n')
+    got = files.read_posts(spark, str(tmp_path / "x.json"), "json", lambda df: df.select(F.col("id").alias("post_id"), F.col("body").alias("text")), "id string, body string")
+    assert [tuple(r) for r in got.collect()] == [("7", "water")]
