@@ -3,11 +3,12 @@
 Texts of the same words within half the window are one node, so that copies are never paired. A node's
 fingerprint has a bit for each of 128 word classes, set when the node has an odd number of words of
 the class: it differs in at most as many bits as two nodes differ in words. Similar nodes share one
-of their rarest words, so nodes meet in shards by rare word; within a shard a vantage-point tree over
-the fingerprints finds those near enough, pruned by the triangle inequality. Shards of words that
-many texts have are cut by the upper part of such a tree, a node going to each part its ball
-overlaps. Found pairs are checked exactly, and links joined to groups by alternating star
-contraction. A node is identified by a 64-bit hash of its words and time, words by 32-bit hashes.
+of their rarest words, so nodes meet in shards by rare word; where many texts have that word, by it and the
+next words they share, of which the same bound tells how far they lie back: a shard splits as the data grow.
+Within a shard a vantage-point tree over the fingerprints parts them by Hamming distance, and the triangle
+inequality prunes the parts that a node's ball doesn't reach; a ball across a boundary asks both sides. Found
+pairs are checked exactly, and links joined to groups by alternating star contraction. A node is identified
+by a 64-bit hash of its words and time, words by 32-bit hashes.
 """
 
 from __future__ import annotations
@@ -19,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeloom.llm.vptree import LEAF, Router, hamming, pairs_within
+from placeloom.llm.vptree import LEAF, hamming, pairs_within
 from placeloom.llm.words import word_list
 from placeloom.session import broadcast_if_small, cut
 
 CLASSES = 1 << 18  #: word classes whose frequencies are counted
-HOT_WORD = 50_000  #: words of classes in more texts get their shards cut by a vantage-point tree
-SAMPLE = 4_096  #: fingerprints the upper tree is built from
+HOT_WORD = 50_000  #: texts a shard aims at; it is split by a second shared word beyond, by a third beyond DEEPER times as many
+DEEPER = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -33,6 +34,12 @@ def word_hashes(text: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(word_list(text), lambda w: F.hash(F.lower(w)))))
 
 
+def _mixed(key: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Keys with one more word mixed in."""
+    x = (key ^ word.astype(np.uint64)) * _MIX
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
 def class_counts(nodes: DataFrame) -> np.ndarray:
     """Texts that have a word of each class: at most CLASSES numbers, whatever the corpus."""
     rows = nodes.select(F.explode("words").alias("w")).groupBy(F.pmod("w", F.lit(CLASSES)).alias("c")).count()
@@ -86,11 +93,7 @@ def group_nodes(docs: DataFrame, key: str, time: str, text: str, window_s: int,
 def candidate_pairs(nodes: DataFrame, counts: np.ndarray, window_s: int, least: Threshold, hot: int = HOT_WORD) -> DataFrame:
     """(a, b) with a < b: pairs of nodes near in fingerprint and time that share a rare word. Pairs may repeat."""
     sc = nodes.sparkSession.sparkContext
-    shared, router = sc.broadcast(counts.astype(np.int64)), None
-    if counts.max(initial=0) > hot:
-        sample = nodes.select("words", F.xxhash64("node").alias("o")).orderBy("o").limit(SAMPLE).collect()
-        prints = [fingerprints(np.array(r["words"], np.int64), np.array([0, len(r["words"])])) for r in sample]
-        router = sc.broadcast(Router(np.concatenate(prints)))
+    shared = sc.broadcast(counts.astype(np.int64))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = shared.value
@@ -106,20 +109,31 @@ def candidate_pairs(nodes: DataFrame, counts: np.ndarray, window_s: int, least:
             count = freq[values % CLASSES]
             order = np.lexsort((values, count, row))
             nth = np.arange(len(row)) - np.repeat(offsets[:-1], n)
-            taken = order[nth < np.repeat(least.prefix(n), n)]
-            word, r = values[taken], row[taken]
+            # Similar texts share one of the first `near` words in this order, a second one among the first near + 1
+            # or as many words as there are, and a third among the next.
+            near = np.repeat(least.prefix(n), n)
             prints = fingerprints(values, offsets)
-            shard = np.zeros(len(r), np.int64)
-            if router is not None and (busy := count[taken] > hot).any():
-                at, part = router.value.shards(prints[r[busy]], least.radius(n[r[busy]]))
-                word = np.concatenate([word[~busy], word[busy][at]])
-                r = np.concatenate([r[~busy], r[busy][at]])
-                shard = np.concatenate([shard[~busy], part])
+            i = np.flatnonzero(nth < near)
+            word, r = values[order[i]], row[i]
+            deep = (count[order[i]] > hot).astype(np.int64) + (count[order[i]] > hot * DEEPER)
+            shard = _mixed(np.zeros(len(i), np.uint64), word)
+            whole = [(shard[deep == 0], r[deep == 0])]
+            for step in (1, 2):
+                more = deep >= step
+                i, shard, deep = i[more], shard[more], deep[more]
+                # The words after the last one taken, as far as the next shared one may lie back.
+                end = np.minimum(np.repeat(offsets[:-1], n) + near + step, np.repeat(offsets[1:], n))[i]
+                many = np.maximum(end - i - 1, 0)
+                back = np.repeat(np.arange(len(i)), many)
+                j = i[back] + 1 + np.arange(len(back)) - np.repeat(np.cumsum(many) - many, many)
+                i, shard, deep = j, _mixed(shard[back], values[order[j]]), deep[back]
+                whole.append((shard[deep == step], row[i[deep == step]]))
+            shard, r = (np.concatenate(x) for x in zip(*whole))
             first, last = batch.column("first").to_numpy(), batch.column("last").to_numpy()
-            cols = [(word << 12) | shard, first[r], batch.column("node").to_numpy()[r], prints[r, 0].view(np.int64), prints[r, 1].view(np.int64), (n[r] << 40) | (last[r] - first[r])]
+            cols = [shard.view(np.int64), first[r], batch.column("node").to_numpy()[r], prints[r, 0].view(np.int64), prints[r, 1].view(np.int64), (n[r] << 40) | (last[r] - first[r])]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["shard", "first", "node", "low", "high", "rest"])
 
-    window = window_s * 1_000_000
+    window, few = window_s * 1_000_000, LEAF
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
@@ -160,16 +174,16 @@ def candidate_pairs(nodes: DataFrame, counts: np.ndarray, window_s: int, least:
         ahead = np.searchsorted(group * span + begin, group * span + begin + (last - first + window) // 1_000_000 + 1, side="right")
         ahead = np.minimum(ahead, ends[group])
         most = np.maximum.reduceat(ahead - np.arange(len(ahead)), starts)
-        i = np.flatnonzero((most <= LEAF)[group])
+        i = np.flatnonzero((most <= few)[group])
         reach = ahead[i] - i
-        for lag in range(1, LEAF):
+        for lag in range(1, few):
             live = reach > lag
             i, reach = i[live], reach[live]
             if not len(i):
                 break
             if (got := told(i, i + lag)) is not None:
                 yield got
-        for s, e in zip(starts[most > LEAF], ends[most > LEAF]):
+        for s, e in zip(starts[most > few], ends[most > few]):
             # Slices of one window and a half: a row meets rows of its own slice and of the one before.
             slices = (first[s:e] - first[s]) // (window + window // 2)
             cuts = s + np.concatenate([[0], np.flatnonzero(np.diff(slices)) + 1, [e - s]])
@@ -229,7 +243,7 @@ def components(links: DataFrame) -> DataFrame:
     Alternating large and small stars; each round ends in a table in the shared folder. Minima are
     partial aggregates and neighbours are joined, so no node's neighbours are ever gathered.
     """
-    edges = cut(forest(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
+    edges = cut(forest(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), release=True)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -237,7 +251,7 @@ def components(links: DataFrame) -> DataFrame:
         large = large.where("a <> b")
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        new = cut(small.unionByName(down.select("a", F.col("m").alias("b"))).distinct())
+        new = cut(small.unionByName(down.select("a", F.col("m").alias("b"))).distinct(), release=True)
         # Stars whose centres are no leaves are the end: then every a has one b, and no b is an a.
         deep = new.join(new.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count()
         twice = new.groupBy("a").count().where("count > 1").limit(1).count()
@@ -257,13 +271,13 @@ def near_duplicates(docs: DataFrame, key: str, time: str, text: str, num: int =
     least = Threshold(num, den)
     rows = group_nodes(docs, key, time, text, window_s, least_words)
     counts = class_counts(rows)
-    nodes = cut(rows.groupBy("node").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.first("words").alias("words")))
-    found = cut(candidate_pairs(nodes, counts, window_s, least, hot).distinct())
+    nodes = cut(rows.groupBy("node").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.first("words").alias("words")), release=True)
+    found = cut(candidate_pairs(nodes, counts, window_s, least, hot).distinct(), release=True)
     ends = broadcast_if_small(found.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     told = nodes.select("node", "words").join(ends, "node", "left_semi")
     checked = found.join(told.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a").join(told.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
     roots = components(checked.where(similar(F.col("wa"), F.col("wb"), least)).select("a", "b"))
     placed = rows.select("node", "key").join(broadcast_if_small(roots), "node", "left").select(F.coalesce("root", "node").alias("root"), "key")
-    placed = cut(placed.distinct())
+    placed = cut(placed.distinct(), release=True)
     groups = placed.groupBy("root").agg(F.min("key").alias("group_id"), F.max("key").alias("_last")).where("group_id <> _last").drop("_last")
     return placed.join(broadcast_if_small(groups), "root").select("group_id", F.col("key").alias(key))

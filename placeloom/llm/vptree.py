@@ -7,7 +7,8 @@ from __future__ import annotations
 
 import numpy as np
 
-LEAF = 128  #: fingerprints compared one by one at the end of a branch
+LEAF = 32  #: fingerprints compared one by one at the end of a branch
+SPARED = 0.9  #: a boundary must leave no more than this share of the comparisons
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -16,16 +17,23 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return count[..., 0] + count[..., 1]
 
 
-def _split(prints: np.ndarray, at: np.ndarray, leaf: int) -> tuple[int, int, np.ndarray, np.ndarray] | None:
-    """(vantage point, boundary, inside, outside) or None where no boundary parts the fingerprints."""
+def _split(prints: np.ndarray, at: np.ndarray, leaf: int, reach: int) -> tuple[int, int, np.ndarray, np.ndarray] | None:
+    """(vantage point, boundary, inside, outside), or None where no boundary spares a tenth of the comparisons.
+
+    The boundary is where the fewest balls of radius `reach` lie across it, for the sizes of the two sides:
+    between a vantage point's near copies and the rest, or between kinds of texts."""
     if len(at) <= leaf:
         return None
     vantage = int(at[len(at) // 2])
     d = hamming(prints[at], prints[vantage]).astype(np.int64)
-    edge = int(np.median(d))
-    if edge >= d.max():
-        edge = int(d.max()) - 1
-    if edge < 0:
+    upto = np.concatenate([np.cumsum(np.bincount(d, minlength=129)), np.full(reach + 1, len(at))])
+    edges = np.arange(129)
+    before = np.where(edges >= reach, upto[np.maximum(edges - reach, 0)], 0)
+    inside = upto[edges]
+    cost = inside * upto[edges + reach] + (len(at) - inside) * (len(at) - before)
+    cost[(inside == 0) | (inside == len(at))] = len(at) ** 2
+    edge = int(cost.argmin())
+    if cost[edge] > SPARED * len(at) ** 2:
         return None
     return vantage, edge, at[d <= edge], at[d > edge]
 
@@ -38,12 +46,13 @@ def pairs_within(prints: np.ndarray, queries: np.ndarray, radius: np.ndarray, le
     """
     low, asked = np.ascontiguousarray(prints[:, 0]), np.ascontiguousarray(queries[:, 0])
     near = np.minimum(radius, 255).astype(np.uint8)
+    reach = int(near.max(initial=0))
     stack = [(np.arange(len(prints)), np.arange(len(queries)))]
     while stack:
         at, q = stack.pop()
         if not len(at) or not len(q):
             continue
-        parted = _split(prints, at, leaf)
+        parted = _split(prints, at, leaf, reach)
         if parted is None:
             # The first word alone rules out most; the rest is compared as a whole.
             for lo in range(0, len(at), 256):
@@ -58,39 +67,3 @@ def pairs_within(prints: np.ndarray, queries: np.ndarray, radius: np.ndarray, le
         vantage, edge, inside, outside = parted
         d = hamming(queries[q], prints[vantage]).astype(np.int64)
         stack += [(inside, q[d - radius[q] <= edge]), (outside, q[d + radius[q] > edge])]
-
-
-class Router:
-    """The upper part of a vantage-point tree: its leaves are the shards of a large group."""
-
-    def __init__(self, sample: np.ndarray, shards: int = 64):
-        self.nodes: list[tuple[np.ndarray, int, int, int]] = []  # vantage print, boundary, inside, outside; leaves are < 0
-        self.leaves = 0
-        self.root = self._build(np.asarray(sample, np.uint64), max(1, len(sample) // shards))
-
-    def _build(self, prints: np.ndarray, leaf: int) -> int:
-        parted = _split(prints, np.arange(len(prints)), leaf)
-        if parted is None:
-            self.leaves += 1
-            return -self.leaves
-        vantage, edge, inside, outside = parted
-        k = len(self.nodes)
-        self.nodes.append((prints[vantage], 0, 0, 0))
-        self.nodes[k] = (prints[vantage], edge, self._build(prints[inside], leaf), self._build(prints[outside], leaf))
-        return k
-
-    def shards(self, prints: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, shard) of every shard a fingerprint's ball of that radius overlaps. If two fingerprints
-        are within the radius of one of them, both are in the shard where the other one lies."""
-        rows, found = [], []
-        stack = [(self.root, np.arange(len(prints)))]
-        while stack:
-            k, q = stack.pop()
-            if k < 0:
-                rows.append(q)
-                found.append(np.full(len(q), -k))
-                continue
-            vantage, edge, inside, outside = self.nodes[k]
-            d = hamming(prints[q], vantage).astype(np.int64)
-            stack += [(inside, q[d - radius[q] <= edge]), (outside, q[d + radius[q] > edge])]
-        return np.concatenate(rows), np.concatenate(found)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Links, mentions and everything between runs of letters or digits.
-BETWEEN_WORDS = r"https?://\S+|@[a-zA-Z0-9\p{L}\p{N}_]+|[^a-zA-Z0-9\p{L}\p{N}]+"
+#: Links, mentions and everything between runs of letters or digits. ASCII is told first, by a table.
+BETWEEN_WORDS = r"https?://\S+|@(?:[a-zA-Z0-9_]|[\x{80}-\x{10ffff}&&[\p{L}\p{N}]])+|(?:[\x00-/:-@\[-`{-\x7f]|[\x{80}-\x{10ffff}&&[^\p{L}\p{N}]])+"
 
 
 def word_list(text: Column) -> Column:
