@@ -269,12 +269,13 @@ def near_duplicates(docs: DataFrame, key: str, time: str, text: str, num: int =
     no group; other columns are ignored.
     """
     least = Threshold(num, den)
-    rows = group_nodes(docs, key, time, text, window_s, least_words)
+    # Written once with their words; every later step reads only the columns it needs.
+    rows = cut(group_nodes(docs, key, time, text, window_s, least_words))
     counts = class_counts(rows)
-    nodes = cut(rows.groupBy("node").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.first("words").alias("words")), release=True)
+    nodes = rows.groupBy("node").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.first("words").alias("words"))
     found = cut(candidate_pairs(nodes, counts, window_s, least, hot).distinct(), release=True)
     ends = broadcast_if_small(found.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    told = nodes.select("node", "words").join(ends, "node", "left_semi")
+    told = rows.select("node", "words").join(ends, "node", "left_semi").dropDuplicates(["node"])
     checked = found.join(told.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a").join(told.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
     roots = components(checked.where(similar(F.col("wa"), F.col("wb"), least)).select("a", "b"))
     placed = rows.select("node", "key").join(broadcast_if_small(roots), "node", "left").select(F.coalesce("root", "node").alias("root"), "key")
