@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeloom.functions.text import DUPLICATE_TOKEN
+from placeloom.operators.near_vectors import kept_of_groups
 from placeloom.session import cut
 
+#: A group of texts up to so many letters in all is worked out by one task.
+MAX_LETTERS = 45_000_000
+#: Small groups are worked out together, about so many rows at once.
+ROWS_AT_ONCE = 20_000
+
 
 def earliest_of_text(rows: DataFrame, group: str, time: str, text: str) -> DataFrame:
     """Rows whose time is the least of their text in the group; equal times are all kept."""
@@ -68,11 +79,69 @@ def star_clusters(pairs: DataFrame, group: str) -> DataFrame:
     return taken if taken is not None else stars.select(group, "centre", "member").limit(0)
 
 
+def _in_groups(batches: Iterator[pa.RecordBatch], distance: float) -> Iterator[pa.RecordBatch]:
+    """(group, key) of what is left of rows (group, key, time, tokens) that come group by group; tokens are null for null texts."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = batch.column(0).to_pylist()
+        starts = [i for i, name in enumerate(names) if name != (names[i - 1] if i else last)]
+        if held and starts and sum(x.num_rows for x in held) + starts[-1] >= ROWS_AT_ONCE:
+            held.append(batch.slice(0, starts[-1]))
+            batch = batch.slice(starts[-1])
+            yield from _left_of(held, distance)
+        held.append(batch)
+        last = names[-1]
+    if held:
+        yield from _left_of(held, distance)
+
+
+def _left_of(held: list[pa.RecordBatch], distance: float) -> Iterator[pa.RecordBatch]:
+    """(group, key) of what is left of whole groups; empties `held`, so that the tokens are in memory once."""
+    rows = pa.Table.from_batches(held)
+    held.clear()
+    bare = rows.filter(pc.is_null(rows.column(3))).select([0, 1])
+    rows = rows.filter(pc.is_valid(rows.column(3))) if bare.num_rows else rows
+    names = rows.column(0).to_pylist()
+    group = np.cumsum([i > 0 and name != names[i - 1] for i, name in enumerate(names)], dtype=np.int64)
+    del names
+    ranks = []
+    for by in ([1], [2, 1]):
+        order = pc.sort_indices(rows, sort_keys=[(rows.column_names[c], "ascending") for c in by]).to_numpy()
+        ranks.append(np.empty(len(order), np.int64))
+        ranks[-1][order] = np.arange(len(order))
+    tokens, rows = rows.column(3), rows.select([0, 1])
+    ptr = np.concatenate([[0], np.cumsum(pc.list_value_length(tokens).to_numpy())]).astype(np.int64)
+    tokens = [np.concatenate([np.empty(0, np.uint64), *(c.flatten().to_numpy(zero_copy_only=False).view(np.uint64) for c in tokens.chunks)])]
+    pa.default_memory_pool().release_unused()
+    left = kept_of_groups(ptr, tokens, group, *ranks, distance)
+    yield from pa.concat_tables([rows.filter(pa.array(left)), bare]).group_by(rows.column_names).aggregate([]).to_batches()
+
+
 def without_near_duplicates(rows: DataFrame, group: str, key: str, time: str, text: str, distance: float = 0.2) -> DataFrame:
     """(group, key): what is left when of each star of near duplicates only the earliest row is kept (of
     equal times the least key), after all but the earliest copies of equal texts are out. Null texts
-    are no duplicates of anything."""
-    rows = rows.select(group, key, time, text)
+    are no duplicates of anything.
+
+    One task holds a group of up to MAX_LETTERS of text and works it out alone; larger groups go through shuffles."""
+    rows = cut(rows.select(group, key, time, text), release=True)
+    large = rows.groupBy(group).agg(F.sum(F.length(text) + 1).alias("_letters")).where(F.col("_letters") > MAX_LETTERS).select(group)
+    large = [r[0] for r in large.collect()]
+    is_large = F.coalesce(F.col(group).isin(large), F.lit(False))
+    kept = _of_small_groups(rows.where(~is_large), group, key, time, text, distance)
+    return kept.unionByName(_of_large_groups(rows.where(is_large), group, key, time, text, distance)) if large else kept
+
+
+def _of_small_groups(rows: DataFrame, group: str, key: str, time: str, text: str, distance: float) -> DataFrame:
+    first = F.min(time).over(Window.partitionBy(group, text))
+    rows = rows.repartition(group).withColumn("_first", first).where(F.col(text).isNull() | (F.col(time) == F.col("_first")))
+    tokens = F.transform(F.regexp_extract_all(F.col(text), F.lit(DUPLICATE_TOKEN), 0), lambda x: F.xxhash64(x))
+    rows = rows.sortWithinPartitions(group).select(group, key, time, tokens.alias("tokens"))
+    return rows.mapInArrow(lambda batches: _in_groups(batches, distance), rows.select(group, key).schema)
+
+
+def _of_large_groups(rows: DataFrame, group: str, key: str, time: str, text: str, distance: float) -> DataFrame:
     first = cut(earliest_of_text(rows.where(F.col(text).isNotNull()), group, time, text))
     stars = star_clusters(near_pairs(vectors(first, group, key, text), group, key, distance), group)
     kept = stars.withColumnRenamed("member", key).join(first.select(group, key, time), [group, key])

@@ -1,7 +1,11 @@
 """The engine from posts to places on a small world, its streaming form, and the near-copy rules."""
 
+import math
+import random
+from collections import Counter
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,6 +192,65 @@ def test_near_copies(spark):
     assert sm.without_near_duplicates(df.limit(0), "grp", "id", "at", "text").count() == 0
 
 
+def _posts_alike(n, groups, seed):
+    """Texts of 12 to 16 words of few kinds of sentence; some are repeated with a word changed."""
+    rng, t, rows = random.Random(seed), datetime(2016, 1, 4), []
+    kinds = [[f"w{rng.randrange(200)}" for _ in range(13)] for _ in range(60)]
+    for i in range(n):
+        words = [w if rng.random() < 0.8 else f"v{rng.randrange(900)}" for w in rng.choice(kinds)] + [f"n{rng.randrange(50)}" for _ in range(rng.randrange(3))]
+        if rows and rng.random() < 0.15:
+            words = rng.choice(rows)[3].split(" ")
+            words[rng.randrange(len(words))] = f"x{rng.randrange(9)}"
+        rows.append((f"g{0 if rng.random() < 0.7 else rng.randrange(groups)}", f"p{i:05d}", t + timedelta(minutes=rng.randrange(600)), " ".join(words)))
+    return rows
+
+
+def _left_by_brute_force(rows, distance):
+    """The rule of the near copies, one after the other, over all pairs."""
+    left = set()
+    for g in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == g]
+        own = [r for r in own if r[2] == min(x[2] for x in own if x[3] == r[3])]
+        counts = [Counter((w := r[3].split(" ")) + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]) for r in own]
+        df = Counter(t for c in counts for t in c)
+        terms = {t: i for i, t in enumerate(t for t, k in df.items() if len(own) <= 1000 or k >= int(math.log(len(own))))}
+        m = np.zeros((len(own), len(terms)))
+        for i, c in enumerate(counts):
+            for t, tf in c.items():
+                if t in terms:
+                    m[i, terms[t]] = (1 + math.log(tf)) * (math.log((1 + len(own)) / (1 + df[t])) + 1)
+        m /= np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
+        close = 1 - m @ m.T < distance
+        stars = sorted((-int(close[i].sum()), own[i][1], np.flatnonzero(close[i])) for i in range(len(own)) if close[i].sum() > 1)
+        used, gone = set(), set()
+        for _, _, star in stars:
+            if not used & set(star):
+                used |= set(star)
+                gone |= set(star) - {min(star, key=lambda i: (own[i][2], own[i][1]))}
+        left |= {(g, r[1]) for i, r in enumerate(own) if i not in gone}
+    return left
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_near_copies_as_by_brute_force(spark, monkeypatch, most):
+    if most is not None:
+        monkeypatch.setattr(sm, "MAX_LETTERS", most)
+    monkeypatch.setattr(sm, "ROWS_AT_ONCE", 100)
+    rows = _posts_alike(1900 if most is None else 300, 5, 3)
+    df = spark.createDataFrame(rows, "grp string, id string, at timestamp, text string")
+    got = [(r["grp"], r["id"]) for r in sm.without_near_duplicates(df, "grp", "id", "at", "text", 0.2).collect()]
+    assert len(got) == len(set(got)) < len(rows) and set(got) == _left_by_brute_force(rows, 0.2)
+
+
+def test_near_copies_shuffle_little(spark):
+    rows = _posts_alike(1500, 5, 4)
+    df = spark.createDataFrame(rows, "grp string, id string, at timestamp, text string")
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = shuffled()
+    sm.without_near_duplicates(df, "grp", "id", "at", "text", 0.2).collect()
+    assert shuffled() - before < 2 * sum(len(r[3]) for r in rows)
+
+
 def test_zones(spark):
     spans = offset_intervals(["Europe/Amsterdam"], datetime(2016, 1, 1), datetime(2017, 1, 1))
     assert [(s[1], s[2]) for s in spans] == [(3600, datetime(2016, 1, 1)), (7200, datetime(2016, 3, 27, 1)), (3600, datetime(2016, 10, 30, 1))]
