@@ -13,7 +13,7 @@ by a 64-bit hash of its words and time, words by 32-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,8 @@ from placeloom.session import broadcast_if_small, cut
 CLASSES = 1 << 18  #: word classes whose frequencies are counted
 HOT_WORD = 50_000  #: texts a shard aims at; it is split by a second shared word beyond, by a third beyond DEEPER times as many
 DEEPER = 64
+MET_AT_ONCE = 40_000  #: rows that meet at a time, and with what is kept of the rows before
+TOLD_AT_ONCE = 50_000  #: pairs that the trees find before they are told by the exact bounds
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,57 +92,28 @@ def group_nodes(docs: DataFrame, key: str, time: str, text: str, window_s: int,
     return rows.withColumn("node", F.xxhash64("words", F.floor(F.col("at") / (window_s * 500_000)).cast("long"))).select("node", "key", "at", "words")
 
 
-def candidate_pairs(nodes: DataFrame, counts: np.ndarray, window_s: int, least: Threshold, hot: int = HOT_WORD) -> DataFrame:
-    """(a, b) with a < b: pairs of nodes near in fingerprint and time that share a rare word. Pairs may repeat."""
-    sc = nodes.sparkSession.sparkContext
-    shared = sc.broadcast(counts.astype(np.int64))
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        freq = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = batch.column("words")
-            offsets = lists.offsets.to_numpy().astype(np.int64)
-            values = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64)
-            offsets -= offsets[0]
-            n = np.diff(offsets)
-            row = np.repeat(np.arange(len(n)), n)
-            count = freq[values % CLASSES]
-            order = np.lexsort((values, count, row))
-            nth = np.arange(len(row)) - np.repeat(offsets[:-1], n)
-            # Similar texts share one of the first `near` words in this order, a second one among the first near + 1
-            # or as many words as there are, and a third among the next.
-            near = np.repeat(least.prefix(n), n)
-            prints = fingerprints(values, offsets)
-            i = np.flatnonzero(nth < near)
-            word, r = values[order[i]], row[i]
-            deep = (count[order[i]] > hot).astype(np.int64) + (count[order[i]] > hot * DEEPER)
-            shard = _mixed(np.zeros(len(i), np.uint64), word)
-            whole = [(shard[deep == 0], r[deep == 0])]
-            for step in (1, 2):
-                more = deep >= step
-                i, shard, deep = i[more], shard[more], deep[more]
-                # The words after the last one taken, as far as the next shared one may lie back.
-                end = np.minimum(np.repeat(offsets[:-1], n) + near + step, np.repeat(offsets[1:], n))[i]
-                many = np.maximum(end - i - 1, 0)
-                back = np.repeat(np.arange(len(i)), many)
-                j = i[back] + 1 + np.arange(len(back)) - np.repeat(np.cumsum(many) - many, many)
-                i, shard, deep = j, _mixed(shard[back], values[order[j]]), deep[back]
-                whole.append((shard[deep == step], row[i[deep == step]]))
-            shard, r = (np.concatenate(x) for x in zip(*whole))
-            first, last = batch.column("first").to_numpy(), batch.column("last").to_numpy()
-            cols = [shard.view(np.int64), first[r], batch.column("node").to_numpy()[r], prints[r, 0].view(np.int64), prints[r, 1].view(np.int64), (n[r] << 40) | (last[r] - first[r])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["shard", "first", "node", "low", "high", "rest"])
+def meeting(window_s: int, least: Threshold) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows in order of shard and time to (a, b): nodes of a shard that are near in fingerprint and time.
 
+    A row is compared with the rows before it that its window reaches, and with each of them once."""
     window, few = window_s * 1_000_000, LEAF
 
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+        some, rows = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                some.append(batch)
+                rows += batch.num_rows
+            if rows >= MET_AT_ONCE:
+                yield some
+                some, rows = [], 0
+        if some:
+            yield some
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+        for some in gathered(batches):
+            cols = [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in some]) for i in range(6)]
             old = 0
             if kept is not None:
                 old = len(kept[0])
@@ -153,15 +126,15 @@ def candidate_pairs(nodes: DataFrame, counts: np.ndarray, window_s: int, least:
             kept = [c[keep] for c in cols]
 
     def _meet(shard, first, last, node, bits, n, old) -> Iterator[pa.RecordBatch]:
-        def told(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch | None:
-            # First what is cheap and leaves few pairs, then the exact bounds.
-            ok = np.flatnonzero(np.bitwise_count(low.take(i) ^ low.take(j)) <= most_apart.take(i))
-            i, j = i[ok], j[ok]
+        def told(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             ok = (hamming(bits.take(i, axis=0), bits.take(j, axis=0)) <= least.apart(n[i], n[j])) & ((i >= old) | (j >= old)) & (node[i] != node[j]) & least.sizes(n[i], n[j])
             i, j = i[ok], j[ok]
             ok = (first[i] - last[j] <= window) & (first[j] - last[i] <= window)
             a, b = node[i[ok]], node[j[ok]]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"]) if len(a) else None
+            return np.minimum(a, b), np.maximum(a, b)
+
+        def rows(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b"])
 
         low = np.ascontiguousarray(bits[:, 0])
         most_apart = np.minimum(least.radius(n), 255).astype(np.uint8)
@@ -176,34 +149,88 @@ def candidate_pairs(nodes: DataFrame, counts: np.ndarray, window_s: int, least:
         most = np.maximum.reduceat(ahead - np.arange(len(ahead)), starts)
         i = np.flatnonzero((most <= few)[group])
         reach = ahead[i] - i
+        found = []
         for lag in range(1, few):
             live = reach > lag
             i, reach = i[live], reach[live]
             if not len(i):
                 break
-            if (got := told(i, i + lag)) is not None:
-                yield got
+            # First what is cheap and leaves few pairs, then the exact bounds.
+            k = i[np.bitwise_count(low.take(i) ^ low.take(i + lag)) <= most_apart.take(i)]
+            found.append(told(k, k + lag))
+        # What the trees find is told in large parts, and goes on in large batches.
+        near, waiting = [], 0
         for s, e in zip(starts[most > few], ends[most > few]):
-            # Slices of one window and a half: a row meets rows of its own slice and of the one before.
+            # Slices of one window and a half: a row meets the rows before it as far as its window and the longest node reach back.
             slices = (first[s:e] - first[s]) // (window + window // 2)
             cuts = s + np.concatenate([[0], np.flatnonzero(np.diff(slices)) + 1, [e - s]])
-            before = None
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                own = np.arange(lo, hi)
-                if hi > old:
-                    for base, same in ((own, True), (before, False)):
-                        if base is None:
-                            continue
-                        for q, t in pairs_within(bits[base], bits[own], least.radius(n[own])):
-                            i, j = own[q], base[t]
-                            if same:
-                                i, j = i[i > j], j[i > j]
-                            if (got := told(i, j)) is not None:
-                                yield got
-                before = own
+            longest = int((last[s:e] - first[s:e]).max())
+            for lo, hi in zip(np.maximum(cuts[:-1], old), cuts[1:]):
+                if lo >= hi:
+                    continue
+                since = s + np.searchsorted(first[s:e], first[lo:hi] - window - longest)
+                base = since[0]
+                for q, t in pairs_within(bits[base:hi], bits[lo:hi], least.radius(n[lo:hi]), LEAF, since - base, np.arange(lo, hi) - base):
+                    near.append((q + lo, t + base))
+                    waiting += len(q)
+                    if waiting > TOLD_AT_ONCE:
+                        found.append(told(*(np.concatenate(x) for x in zip(*near))))
+                        near, waiting = [], 0
+                        yield rows(found)
+                        found = []
+        if near:
+            found.append(told(*(np.concatenate(x) for x in zip(*near))))
+        if found:
+            yield rows(found)
+
+    return meet
+
+
+def candidate_pairs(nodes: DataFrame, counts: np.ndarray, window_s: int, least: Threshold, hot: int = HOT_WORD) -> DataFrame:
+    """(a, b) with a < b: pairs of nodes near in fingerprint and time that share a rare word. Pairs may repeat."""
+    sc = nodes.sparkSession.sparkContext
+    shared = sc.broadcast(counts.astype(np.int64))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freq = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("words")
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            values = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64)
+            offsets -= offsets[0]
+            n = np.diff(offsets)
+            row = np.repeat(np.arange(len(n)), n)
+            count = freq[values % CLASSES]
+            order = np.lexsort((values, count, row))
+            nth = np.arange(len(row)) - np.repeat(offsets[:-1], n)
+            # Similar texts share one of the first `near` words in this order, a second one among the first near + 1
+            # or as many words as there are, and a third among the next.
+            near = np.repeat(least.prefix(n), n)
+            prints = fingerprints(values, offsets)
+            i = np.flatnonzero(nth < near)
+            word, r = values[order[i]], row[i]
+            deep = (count[order[i]] > hot).astype(np.int64) + (count[order[i]] > hot * DEEPER)
+            shard = _mixed(np.zeros(len(i), np.uint64), word)
+            whole = [(shard[deep == 0], r[deep == 0])]
+            for step in (1, 2):
+                more = deep >= step
+                i, shard, deep = i[more], shard[more], deep[more]
+                # The words after the last one taken, as far as the next shared one may lie back.
+                end = np.minimum(np.repeat(offsets[:-1], n) + near + step, np.repeat(offsets[1:], n))[i]
+                many = np.maximum(end - i - 1, 0)
+                back = np.repeat(np.arange(len(i)), many)
+                j = i[back] + 1 + np.arange(len(back)) - np.repeat(np.cumsum(many) - many, many)
+                i, shard, deep = j, _mixed(shard[back], values[order[j]]), deep[back]
+                whole.append((shard[deep == step], row[i[deep == step]]))
+            shard, r = (np.concatenate(x) for x in zip(*whole))
+            first, last = batch.column("first").to_numpy(), batch.column("last").to_numpy()
+            cols = [shard.view(np.int64), first[r], batch.column("node").to_numpy()[r], prints[r, 0].view(np.int64), prints[r, 1].view(np.int64), (n[r] << 40) | (last[r] - first[r])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["shard", "first", "node", "low", "high", "rest"])
 
     spreaded = nodes.select("node", "words", "first", "last").mapInArrow(spread, "shard long, first long, node long, low long, high long, rest long")
-    return spreaded.repartition("shard").sortWithinPartitions("shard", "first").mapInArrow(meet, "a long, b long")
+    return spreaded.repartition("shard").sortWithinPartitions("shard", "first").mapInArrow(meeting(window_s, least), "a long, b long")
 
 
 def similar(a: Column, b: Column, least: Threshold) -> Column:

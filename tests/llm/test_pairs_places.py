@@ -3,6 +3,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from placeloom.llm import bktree, canonical, neardup, vptree
@@ -41,6 +42,47 @@ def test_vp_tree_loses_no_pair():
     assert set(got) == want and len(got) == len(want)
 
 
+def test_vp_tree_asks_each_query_of_its_own_stretch():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, size=(30, 2)).astype(np.uint64)
+    prints = base[rng.integers(0, 30, 900)] ^ (np.uint64(1) << rng.integers(0, 64, size=(900, 2)).astype(np.uint64))
+    radius, since, until = rng.integers(0, 9, 600), np.sort(rng.integers(0, 400, 600)), np.arange(300, 900)
+    d = np.bitwise_count(prints[300:, None] ^ prints[None]).sum(axis=2)
+    at = np.arange(900)
+    want = set(zip(*np.nonzero((d <= radius[:, None]) & (at >= since[:, None]) & (at < until[:, None]))))
+    assert len(want) > 1000
+    for leaf in (8, 10**6):
+        got = [p for i, j in vptree.pairs_within(prints, prints[300:], radius, leaf, since, until) for p in zip(i.tolist(), j.tolist())]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_rows_of_a_shard_meet_once(monkeypatch):
+    rng, day, least = np.random.default_rng(6), 86_400 * 10**6, neardup.Threshold(7, 10)
+    kinds = rng.integers(-(2**63), 2**63 - 1, size=(25, 2))
+    n, sizes = 1500, rng.integers(6, 30, 1500)
+    shard, first = np.repeat([7, 9, 11], [1200, 20, 280]), np.sort(rng.integers(0, 4 * day, n))
+    first[1200:1220], first[1220:] = np.sort(first[1200:1220]), np.sort(rng.integers(0, day, 280))
+    span = np.where(rng.random(n) < 0.2, rng.integers(0, day // 2, n), 0)
+    bits = kinds[rng.integers(0, 25, n)] ^ (1 << rng.integers(0, 62, size=(n, 2)))
+    cols = [shard, first, np.arange(n) + 100, bits[:, 0], bits[:, 1], (sizes << 40) | span]
+    last, d = first + span, np.bitwise_count((bits[:, None] ^ bits[None]).view(np.uint64)).sum(axis=2)
+    near = (shard[:, None] == shard) & (first[:, None] - last <= day) & (first - last[:, None] <= day)
+    alike = near & (d <= least.apart(sizes[:, None], sizes)) & least.sizes(sizes[:, None], sizes)
+    want = {(a + 100, b + 100) for a, b in zip(*np.nonzero(alike)) if a < b}
+    assert len(want) > 1000
+    found, search = [], neardup.pairs_within
+    monkeypatch.setattr(neardup, "pairs_within", lambda *args: (p for p in search(*args) if not found.append(len(p[0]))))
+    for at_once, told in ((1, 1), (500, 300), (10**6, 10**6)):
+        monkeypatch.setattr(neardup, "MET_AT_ONCE", at_once)
+        monkeypatch.setattr(neardup, "TOLD_AT_ONCE", told)
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 100]) for c in cols], list("abcdef")) for lo in range(0, n, 100)]
+        found.clear()
+        got = [p for b in neardup.meeting(86_400, least)(iter([batches[0][:0], *batches])) for p in zip(*(c.to_pylist() for c in b.columns))]
+        assert set(got) == want and len(got) == len(want)
+        # No pair comes out of the trees twice, nor a row with itself.
+        assert sum(found) <= ((d <= least.radius(sizes)[:, None]) & (shard[:, None] == shard) & np.tri(n, k=-1, dtype=bool)).sum()
+
+
 def posts(n, seed):
     rng, start = random.Random(seed), datetime(2016, 1, 4)
     vocab = [f"word{i}" for i in range(60)]
